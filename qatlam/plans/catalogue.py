@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qatlam.plans import skew
+from qatlam.plans import lexical, morphology, skew, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (skew,)
+_MODULES = (texts, lexical, morphology, skew)
 
 
 def queries() -> dict[str, Query]:

@@ -12,4 +12,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def small_enough(df: DataFrame, limit_bytes: int) -> bool:
     """Whether the optimizer's size estimate of ``df`` (file sizes for a scan) stays under ``limit_bytes``."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()) <= limit_bytes
+    return int(str(stats.sizeInBytes())) <= limit_bytes
