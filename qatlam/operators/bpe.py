@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from qatlam.functions import text as T
 from qatlam.session import materialise
+from qatlam.sources.tables import spread
 
 # The special tokens and their ids.
 SPECIALS = {"<pad>": 0, "<unk>": 1, "<bos>": 2, "<eos>": 3}
@@ -94,7 +95,7 @@ class Model:
 def word_counts(texts: DataFrame, text: str = "text", lowercase: bool = False) -> DataFrame:
     """(word, n) over the pre-tokens of all texts; null and empty texts count nothing."""
     t = F.lower(text) if lowercase else F.col(text)
-    return texts.where(F.length(text) > 0).select(F.explode(T.pre_tokens(t)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return spread(texts.where(F.length(text) > 0).select(text)).select(F.explode(T.pre_tokens(t)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def base_characters(counts: DataFrame) -> DataFrame:

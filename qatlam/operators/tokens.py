@@ -15,7 +15,8 @@ from qatlam.operators import bpe as B
 from qatlam.operators.analysis import MAX_DEPTH, Affixes, analyze
 from qatlam.operators.balance import fragment_replicate_join
 from qatlam.operators.lookup import BROADCAST_BYTES
-from qatlam.sources.tables import small_enough
+from qatlam.session import materialise
+from qatlam.sources.tables import small_enough, spread
 
 
 def split_text(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", clean: bool = True) -> DataFrame:
@@ -24,7 +25,7 @@ def split_text(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     With ``clean``, entities are resolved and markup, addresses and ornaments taken out first. Null
     and empty texts have no tokens.
     """
-    docs = documents.where(F.col(text).isNotNull()).select(doc_id, F.col(text).alias("__t"))
+    docs = spread(documents.where(F.col(text).isNotNull()).select(doc_id, F.col(text).alias("__t")))
     if clean:
         docs = unescape_html(docs, "__t").withColumn("__t", T.clean_text("__t"))
     cut = docs.select(doc_id, F.posexplode(T.raw_tokens(T.normalize_apostrophes("__t"))).alias("pos", "text"))
@@ -80,7 +81,9 @@ def tokenize(
 ) -> DataFrame:
     """(doc_id, pos, text, token_type, morph, subtokens, token_ids, is_morph, is_bpe) of every token."""
     tokens = keep_tokens(split_text(documents, doc_id, text, clean), include_spaces, include_punct)
-    words = analyse_words(tokens, stems, affixes, max_depth, model)
+    # written, so that words are analysed once and the size of the table is known when it is joined
+    distinct = materialise(tokens.where("token_type = 'word'").select("text", "token_type").distinct(), "word-tokens")
+    words = materialise(analyse_words(distinct, stems, affixes, max_depth, model), "word-analyses")
     return join_words(tokens, words, doc_id)
 
 

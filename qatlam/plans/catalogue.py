@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qatlam.plans import lexical, morphology, skew, texts
+from qatlam.plans import hybrid, lexical, morphology, pairs, skew, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (texts, lexical, morphology, skew)
+_MODULES = (texts, lexical, morphology, hybrid, pairs, skew)
 
 
 def queries() -> dict[str, Query]:
@@ -18,3 +18,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: q for m in _MODULES for name, q in m.SQL.items()}
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid.subword_frequency(spark, d)

@@ -13,3 +13,11 @@ def small_enough(df: DataFrame, limit_bytes: int) -> bool:
     """Whether the optimizer's size estimate of ``df`` (file sizes for a scan) stays under ``limit_bytes``."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes())) <= limit_bytes
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that costs more to compute on than to move, over all cores: moved only if it has fewer partitions than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
