@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from qatlam.operators.lookup import BROADCAST_BYTES, _side
 from qatlam.sources import lexicon
-from qatlam.sources.tables import small_enough
+from qatlam.sources.tables import small_enough, spread_by
 
 #: An affix table is made part of the plan; a larger one is refused.
 MAX_VARIANTS = 2_000
@@ -144,10 +144,10 @@ _UNKNOWN, _BARE = 8, 9
 def _search(words: DataFrame, stems: DataFrame | None, affixes: Affixes, max_results: int, max_depth: int, min_root: int, bare: bool) -> DataFrame:
     """(word, rank, root, path, is_found, confidence): known roots, else unknown ones, else, if asked for, the bare word.
 
-    All three come from one pass over the states. The words' distinct shuffles them once, and what
-    follows needs no other shuffle if the dictionary is small enough to broadcast.
+    All three come from one pass over the states. The distinct words are spread over all tasks, and
+    what follows needs no other shuffle if the dictionary is small enough to broadcast.
     """
-    distinct = words.select("word").where("word is not null").distinct()
+    distinct = spread_by(words.select("word").where("word is not null").distinct(), "word")
     states = strip_states(distinct, affixes, max_depth if stems is not None else 0, min_root, UNKNOWN_DEPTH)
     depth = F.size("path")
     rest = [

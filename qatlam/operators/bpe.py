@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from qatlam.functions import text as T
 from qatlam.session import materialise
-from qatlam.sources.tables import spread
+from qatlam.sources.tables import spread, spread_by
 
 # The special tokens and their ids.
 SPECIALS = {"<pad>": 0, "<unk>": 1, "<bos>": 2, "<eos>": 3}
 PAD, UNK, BOS, EOS = range(4)
 #: Distinct words up to which merges are found on the driver, and merges between cuts of lineage beyond.
-DRIVER_WORDS, CUT_EVERY = 2_000_000, 20
+DRIVER_WORDS, CUT_EVERY = 2_000_000, 8
 
 
 @dataclass
@@ -225,7 +225,8 @@ def train(texts: DataFrame, vocab_size: int = 8000, min_frequency: int = 2, text
         a, b = found[0]["left"], found[0]["right"]
         model.merges.append((a, b))
         model.add(a + b)
-        split = split.withColumn("pieces", F.when(F.array_contains("pieces", a), merge_pieces(F.col("pieces"), a, b)).otherwise(F.col("pieces")))
+        # one reference to the pieces: the optimizer nests steps, and each further one would double them
+        split = split.withColumn("pieces", merge_pieces(F.col("pieces"), a, b))
         if len(model.merges) % CUT_EVERY == 0:
             split = materialise(split, "split-words")
     return model
@@ -260,8 +261,9 @@ def segment_column(df: DataFrame, column: str, model: Model, out: str = "pieces"
 
 def tokenize(texts: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", with_space: bool = False) -> DataFrame:
     """(doc_id, pos, word, pieces) of every pre-token, each distinct word cut once."""
-    words = texts.where(F.col(text).isNotNull()).select(doc_id, F.posexplode(T.pre_tokens(text, with_space)).alias("pos", "word"))
-    distinct = segment_column(words.select("word").distinct(), "word", model)
+    docs = spread(texts.where(F.col(text).isNotNull()).select(doc_id, text))
+    words = docs.select(doc_id, F.posexplode(T.pre_tokens(text, with_space)).alias("pos", "word"))
+    distinct = segment_column(spread_by(words.select("word").distinct(), "word"), "word", model)
     return words.join(distinct, "word").select(doc_id, "pos", "word", "pieces")
 
 
@@ -283,9 +285,9 @@ def encode(texts: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         ranks, vocab = held.value
         return s.map(lambda w: [vocab.get(p, UNK) for p in (w if w.isspace() else segment(w, ranks))])
 
-    docs = texts.select(doc_id, F.col(text).alias("__t"))
+    docs = spread(texts.select(doc_id, F.col(text).alias("__t")))
     words = docs.where("__t is not null").select(doc_id, F.posexplode(T.pre_tokens("__t", True)).alias("pos", "word"))
-    distinct = words.select("word").distinct().withColumn("ids", ids_of("word"))
+    distinct = spread_by(words.select("word").distinct(), "word").withColumn("ids", ids_of("word"))
     joined = words.join(distinct, "word").groupBy(doc_id).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
     around = F.coalesce("ids", F.array().cast("array<int>"))
     if add_bos:

@@ -21,3 +21,12 @@ def spread(df: DataFrame) -> DataFrame:
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def spread_by(df: DataFrame, key: str) -> DataFrame:
+    """Few bytes that cost much to compute on, over as many tasks as a shuffle has, by a key that later steps group by.
+
+    Adaptive execution would put small partitions together by their bytes; a number given by hand stays.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, key)
