@@ -25,5 +25,6 @@ def token_stream(stream: DataFrame, *keep: str, text: str = "text") -> DataFrame
 
 def windowed_token_counts(stream: DataFrame, time: str, width: str = "1 hour", late: str = "1 hour", text: str = "text") -> DataFrame:
     """Tokens by type in windows of event time; rows later than ``late`` are dropped by the watermark."""
-    tokens = token_stream(stream.withWatermark(time, late), time, text=text)
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))  # a watermark takes no timestamp without zone
+    tokens = token_stream(timed.withWatermark(time, late), time, text=text)
     return tokens.groupBy(F.window(time, width), "token_type").agg(F.count(F.lit(1)).alias("n"))
