@@ -10,7 +10,8 @@ Three steps, none of which shuffles the texts:
 2. *Improbable runs.* In each value the pairs' improbabilities are scanned for maximum-scoring
    segments (Ruzzo and Tompa's linear-time algorithm).
 3. *Inverse mappings.* Only inside those runs, the inverse of each known confusion is tried, up to
-   three times in a row; it is accepted if the run becomes that much more probable.
+   three times in a row; it is accepted if the run becomes that much more probable. A swap of
+   one-byte alphabets is also accepted if it makes the run one of the corpus's common words.
 
 A value that holds U+FFFD or a C1 control was decoded wrongly too, though the text may be lost.
 """
@@ -234,11 +235,26 @@ THETA, SEGMENT = 0.0, 1.0
 UTF_BONUS, UTF_STRANGE = 1.5, 2.0
 
 
+#: Common Cyrillic words that a swap of alphabets may lead to: at most so many, each of bounded length.
+COMMON_WORDS, COMMON_LETTERS = 4096, (4, 40)
+#: How many times more common than the run the word must be.
+COMMON_TIMES = 4
+
+
+def common_words(texts: DataFrame) -> dict[str, int]:
+    """The most common Cyrillic words with their counts, by a sketch over all rows."""
+    low, high = COMMON_LETTERS
+    rows = texts.select(F.lower(F.col(texts.columns[0])).alias("word")).where(f"word rlike '^[\\u0400-\\u052f]{{{low},{high}}}$'")
+    top = rows.agg(F.expr(f"approx_top_k(word, {COMMON_WORDS}, {8 * COMMON_WORDS})").alias("top")).first()["top"]
+    return {x["item"]: x["count"] for x in top or []}
+
+
 class Detector:
-    """Judges single values against the corpus scores."""
+    """Judges single values against the corpus scores and, for swaps of alphabets, its common words."""
 
-    def __init__(self, scores: np.ndarray):
+    def __init__(self, scores: np.ndarray, common: dict[str, int] | None = None):
         self.scores = scores
+        self.common = common or {}
         self._kept: dict[str, tuple[bool, str | None]] = {}
 
     def improbability(self, text: str) -> list[float]:
@@ -295,9 +311,13 @@ class Detector:
         if best is not None:
             return best
         best_cost = old
+        whole = not (left.isalpha() or right.isalpha())
         for got in _inverse_single(run):
-            if _plausible(got) and (now := self.cost(left + got + right)) < best_cost and _swap_is_sure(run, got, old, now):
-                best, best_cost = got, now
+            if _plausible(got) and (now := self.cost(left + got + right)) < best_cost:
+                word = got.lower()
+                known = whole and self.common.get(word, 0) > COMMON_TIMES * self.common.get(run.lower(), 0)
+                if known or _swap_is_sure(run, got, old, now):
+                    best, best_cost = got, now
         return best
 
     def judge(self, text: str) -> tuple[bool, str | None]:
@@ -364,17 +384,17 @@ def _swap_is_sure(run: str, got: str, old: float, now: float) -> bool:
 SUSPECT = "[^\\x00-\\x7f\\u02bb\\u02bc]"
 
 
-def detect(df: DataFrame, scores: np.ndarray, text_col: str = "text", garbled_only: bool = True) -> DataFrame:
+def detect(df: DataFrame, scores: np.ndarray, common: dict[str, int], text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose text was decoded wrongly, with ``restored`` (null where the text is lost).
 
-    Columns of ``df`` are kept as they are, but for ``restored`` and ``garbled``, which are replaced.
+    Columns of ``df`` are kept as they are, but for one named ``restored``, which is replaced.
     Null and empty texts are not garbled. Each batch judges its distinct values once.
     """
-    held = df.sparkSession.sparkContext.broadcast(scores)
-    rows = df.where(F.col(text_col).rlike(SUSPECT)).drop("restored", "garbled")
+    held = df.sparkSession.sparkContext.broadcast((scores, common))
+    rows = df.where(F.col(text_col).rlike(SUSPECT)).drop("restored")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = Detector(held.value)
+        detector = Detector(*held.value)
         for batch in batches:
             codes, values = pd.factorize(batch[text_col])
             verdicts = [detector.judge(v) for v in values]
@@ -395,5 +415,5 @@ def text_records(tokens: DataFrame, analyses: DataFrame) -> DataFrame:
 def find_garbled(records: DataFrame) -> DataFrame:
     """(tbl, row_id, text, restored) of every garbled record, once per id. Rows without an id are left out."""
     records = records.where("row_id is not null")
-    scores = pair_scores(records.select("text"))
-    return detect(records, scores).dropDuplicates(["tbl", "row_id"])
+    texts = records.select("text")
+    return detect(records, pair_scores(texts), common_words(texts)).dropDuplicates(["tbl", "row_id"])

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qatlam.llm.encoding import Detector, pair_scores
+from qatlam.llm.encoding import Detector, common_words, pair_scores
 
 # ------------------------------------------------------------------ fixed values
 #: Characters used for an apostrophe. The first two are the official ones.
@@ -167,11 +167,12 @@ def find_unusual(records: DataFrame) -> DataFrame:
     Text that was decoded with a wrong encoding is no matter of spelling and is left out.
     """
     records = records.where("row_id is not null")
-    held = records.sparkSession.sparkContext.broadcast(pair_scores(records.select("text")))
+    texts = records.select("text")
+    held = records.sparkSession.sparkContext.broadcast((pair_scores(texts), common_words(texts)))
     rows = records.where(F.col("text").rlike(SUSPECT)).select("tbl", "row_id", "text")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = Detector(held.value)
+        detector = Detector(*held.value)
         for batch in batches:
             codes, values = pd.factorize(batch["text"])
             flags = np.fromiter((is_case(v) and not detector.judge(v)[0] for v in values), dtype=bool, count=len(values))
