@@ -1,8 +1,8 @@
 """Morphological analysis of words: recursive suffix stripping as one linear plan.
 
-The search tree of a word is spread out level by level: a row is a state (what remains of the word,
-and the path of the affixes stripped so far), and each level turns a state of that depth into
-itself and its children. There is no join and no shuffle in it, and no level is computed twice.
+The search tree of a word is spread out level by level within its row, by a fold whose rounds add the
+children of the states that the round before added; then each state becomes a row (what remains of
+the word, and the path of the affixes stripped so far). There is no join and no shuffle in it.
 A depth-first search visits states in the order of their paths, for an array sorts before its
 extensions; so "the first hits" of the search are the first by path.
 """
@@ -79,30 +79,32 @@ def strip_states(words: DataFrame, affixes: Affixes, depth: int, min_root: int =
     """(word, rem, path, strict) of every state that stripping reaches in at most ``depth`` steps. ``words`` are distinct.
 
     A strict state came by suffixes that fit their stems. Down to ``loose_depth`` suffixes needn't.
+    The levels are rounds of one fold over the word's states, so the plan stays as small at any depth.
     """
-    df = words.select("word", F.struct(F.col("word").alias("rem"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("array<string>").alias("follows"), F.lit(True).alias("strict")).alias("s"))
-    rem, path = F.col("s.rem"), F.col("s.path")
-    left = F.length(rem)
-
-    def strict(v: Column) -> Column:
-        return F.col("s.strict") & allomorph_fits(F.substring(rem, F.lit(1), left - v["n"]), v["k_or_q"])
-
-    def fits(v: Column) -> Column:
-        return (left - v["n"] >= min_root) & F.endswith(rem, v["text"]) & check_order(F.col("s.follows"), v["category"])
-
-    def child(v: Column) -> Column:
-        return F.struct(F.substring(rem, F.lit(1), left - v["n"]).alias("rem"), F.concat(path, F.array(v["ord"])).alias("path"), v["follows"].alias("follows"), strict(v).alias("strict"))
-
-    children = F.transform(F.filter(affixes.array, fits), child)
-    for level in range(max(depth, loose_depth)):
-        # a state of an earlier level, or too short to strip, stays as it is
-        grow = (F.size(path) == level) & (left > min_root)
-        if level >= loose_depth:
-            grow = grow & F.col("s.strict")
-        df = df.select("word", F.explode(F.when(grow, F.concat(F.array(F.col("s")), children)).otherwise(F.array(F.col("s")))).alias("s"))
-        if level >= loose_depth:
-            df = df.where((F.size("s.path") <= level) | F.col("s.strict"))
-    return df.select("word", "s.rem", "s.path", "s.strict")
+    levels = max(depth, loose_depth)
+    start = F.array(F.struct(F.col("word").alias("rem"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("array<string>").alias("follows"), F.lit(True).alias("strict")))
+
+    def children(s: Column, level: Column) -> Column:
+        left = F.length(s["rem"])
+
+        def strict(v: Column) -> Column:
+            return s["strict"] & allomorph_fits(F.substring(s["rem"], F.lit(1), left - v["n"]), v["k_or_q"])
+
+        def fits(v: Column) -> Column:
+            ok = (left - v["n"] >= min_root) & F.endswith(s["rem"], v["text"]) & check_order(s["follows"], v["category"])
+            return ok & ((level < loose_depth) | strict(v))
+
+        def child(v: Column) -> Column:
+            return F.struct(F.substring(s["rem"], F.lit(1), left - v["n"]).alias("rem"), F.concat(s["path"], F.array(v["ord"])).alias("path"), v["follows"].alias("follows"), strict(v).alias("strict"))
+
+        return F.transform(F.filter(affixes.array, fits), child)
+
+    def round_(acc: Column, level: Column) -> Column:
+        last = F.filter(acc, lambda s: (F.size(s["path"]) == level) & (F.length(s["rem"]) > min_root) & (s["strict"] | (level < loose_depth)))
+        return F.concat(acc, F.flatten(F.transform(last, lambda s: children(s, level))))
+
+    states = F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, round_) if levels > 0 else start
+    return words.select("word", F.explode(states).alias("s")).select("word", "s.rem", "s.path", "s.strict")
 
 
 def _confidence(root: Column, path: Column, affixes: Affixes, found: bool) -> Column:

@@ -100,6 +100,31 @@ def join_words(tokens: DataFrame, words: DataFrame, doc_id: str = "doc_id") -> D
     return joined.select(doc_id, "pos", "text", "token_type", "morph", "subtokens", none, F.coalesce("is_morph", F.lit(False)).alias("is_morph"), F.coalesce("is_bpe", F.lit(False)).alias("is_bpe"))
 
 
+def encode_documents(
+    documents: DataFrame, stems: DataFrame, affixes: Affixes, vocab: DataFrame, style: str = "hybrid", doc_id: str = "doc_id", text: str = "text", clean: bool = True,
+    max_depth: int = MAX_DEPTH, model: B.Model | None = None,
+) -> DataFrame:
+    """(doc_id, ids) of every document that has a token.
+
+    Ids are found once for each distinct token, in a table of a vocabulary's size; the tokens
+    themselves are joined with it and shuffled once, to their documents.
+    """
+    from qatlam.operators.vocab import lookup_ids
+
+    tokens = keep_tokens(split_text(documents, doc_id, text, clean))
+    distinct = materialise(tokens.select("text", "token_type").distinct(), "distinct-tokens")
+    known = distinct.join(analyse_words(distinct, stems, affixes, max_depth, model), "text", "left")
+    known = known.withColumn("is_morph", F.coalesce("is_morph", F.lit(False))).withColumn("is_bpe", F.coalesce("is_bpe", F.lit(False)))
+    each = materialise(known.select("text", F.posexplode(subwords(style)).alias("nth", "subword")), "subwords")
+    ids = lookup_ids(each, vocab).groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "id"))), lambda x: x["id"]).alias("ids"))
+    ids = materialise(ids, "token-ids")
+    if small_enough(ids, BROADCAST_BYTES):
+        joined = tokens.select(doc_id, "pos", "text").join(F.broadcast(ids), "text")
+    else:
+        joined = fragment_replicate_join(tokens.select(doc_id, "pos", "text"), ids, "text", F.struct(doc_id, "pos"))
+    return joined.groupBy(doc_id).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
+
+
 # ------------------------------------------------------------------ subwords
 # What stands before a word and before its other pieces, by style.
 STYLES = {"hybrid": ("Ġ", "##"), "bert": ("", "##"), "gpt": ("Ġ", ""), "sentencepiece": (" ", ""), "plus": ("", "+")}

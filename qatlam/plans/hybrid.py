@@ -63,21 +63,25 @@ def unified_vocab(spark: SparkSession, d: str) -> DataFrame:
     return V.build_vocab(spark, stems(spark, d))
 
 
+def _ids(spark: SparkSession, d: str, known: DataFrame) -> DataFrame:
+    return K.encode_documents(table(spark, d, "documents"), stems(spark, d), A.default_affixes(spark), known)
+
+
 def encode_ids(spark: SparkSession, d: str) -> DataFrame:
     """The hybrid ids of every document."""
-    ids = V.encode(K.token_strings(_tokens(spark, d), "hybrid"), V.build_vocab(spark, stems(spark, d)))
+    ids = _ids(spark, d, V.build_vocab(spark, stems(spark, d)))
     return ids.select("doc_id", F.size("ids").alias("n"), F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
 
 
 def decode_ids(spark: SparkSession, d: str) -> DataFrame:
     """The text read back from the hybrid ids of every document."""
     known = V.build_vocab(spark, stems(spark, d))
-    return V.decode(V.encode(K.token_strings(_tokens(spark, d), "hybrid"), known), known)
+    return V.decode(_ids(spark, d, known), known)
 
 
 def pad_truncate(spark: SparkSession, d: str) -> DataFrame:
     """The hybrid ids of every document, cut to 64 and padded to the longest of its language."""
-    ids = V.encode(K.token_strings(_tokens(spark, d), "hybrid"), V.build_vocab(spark, stems(spark, d)))
+    ids = _ids(spark, d, V.build_vocab(spark, stems(spark, d)))
     lang = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
     padded = B.pad_batch(ids.join(lang, "doc_id"), "lang", 64)
     return padded.select("doc_id", "lang", F.size("ids").alias("n"), F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))

@@ -9,7 +9,7 @@ from qatlam.functions import text as T
 from qatlam.functions.udfs import nfkc, unescape_html
 from qatlam.operators import tokens as K
 from qatlam.plans import fragments as S
-from qatlam.sources.tables import table
+from qatlam.sources.tables import spread, table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -42,11 +42,11 @@ def translit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_text_core(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.clean_text("text").alias("cleaned"))
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", T.clean_text("text").alias("cleaned"))
 
 
 def html_unescape_clean(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
     return unescape_html(docs, "text").select("doc_id", T.clean_text("text").alias("cleaned"))
 
 
