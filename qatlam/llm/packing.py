@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qatlam.session import materialise
+from qatlam.sources.tables import spread
 
 #: Where the vocabulary lies unless told otherwise: a ``.tiktoken`` file of ranks.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -56,7 +57,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.fromiter((len(encode(t)) for t in batch["text"]), dtype=np.int64, count=len(batch))})
 
-    rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return rows.mapInPandas(count, "doc_id long, n_tokens long")
 
 
