@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,11 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "qatlam") -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``, else (tests only) a temporary one."""
+    """The folder every executor can read: ``spark.checkpoint.dir``, else, on one machine only, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="qatlam-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
