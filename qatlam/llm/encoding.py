@@ -228,8 +228,8 @@ _LETTERS = re.compile(r"[^\W\d_ʻʼ]")
 
 #: Below this score a pair counts as improbable; a segment needs so much improbability in all.
 THETA, SEGMENT = 0.0, 1.0
-#: What each mapping to valid UTF-8 or UTF-16 counts for, in improbability. Chance hardly makes
-#: valid UTF, so a run may even become a little less probable by it: the bytes of a common garbled
+#: What each mapping to valid UTF-8 or UTF-16, or each character it saves, counts for in
+#: improbability. Chance hardly makes valid UTF, so a run may even become a little less probable by it: the bytes of a common garbled
 #: letter meet so often that they look at home. Not so if the run is a word of one alphabet as it
 #: stands, or if the mapping leads to a script that is far from alphabets and punctuation.
 UTF_BONUS, UTF_STRANGE = 1.5, 2.0
@@ -305,7 +305,7 @@ class Detector:
                 if not _plausible(got):
                     continue
                 strange = one_alphabet or any("\u052f" < c < "\u1e00" or c > "\u2300" for c in got)
-                now = self.cost(left + got + right) + (UTF_STRANGE if strange else -UTF_BONUS * (depth + 1))
+                now = self.cost(left + got + right) + (UTF_STRANGE if strange else -UTF_BONUS * max(depth + 1, len(run) - len(got)))
                 if now < best_cost:
                     best, best_cost = got, now
         if best is not None:
@@ -354,8 +354,9 @@ def _plausible(text: str) -> bool:
 
 #: A swap of one-byte alphabets leaves no structure behind, so it must pay well: in improbability
 #: taken away, in all and for each pair, and in what is left for each pair. Swaps to capitals and
-#: short words need more, for abbreviations and foreign words look much the same.
-SWAP_GAIN, SWAP_PAIR, SWAP_LEFT, SWAP_SHORT_PAIR, SWAP_CAPITALS_PAIR = 6.0, 1.0, 0.9, 1.45, 1.8
+#: short words need more, for abbreviations and foreign words look much the same; signs amid the
+#: letters need less.
+SWAP_GAIN, SWAP_PAIR, SWAP_LEFT, SWAP_SHORT_PAIR, SWAP_CAPITALS_PAIR, SWAP_SIGNS_LEFT = 6.0, 1.0, 0.9, 1.45, 1.8, 1.6
 
 
 def _swap_is_sure(run: str, got: str, old: float, now: float) -> bool:
@@ -369,15 +370,19 @@ def _swap_is_sure(run: str, got: str, old: float, now: float) -> bool:
     pairs = len(got) + 1
     gain = (old - now) / pairs
     cyrillic = all("\u0400" <= c <= "\u052f" for c in run)
-    if old - now < SWAP_GAIN or gain < SWAP_PAIR or now / pairs > (SWAP_LEFT if cyrillic else 1.3 * SWAP_LEFT):
+    if old - now < SWAP_GAIN or gain < SWAP_PAIR:
         return False
     if cyrillic:
+        if now / pairs > SWAP_LEFT:
+            return False
         if len(got) < 4 or (len(got) < 5 and gain < SWAP_SHORT_PAIR):
             return False
         if got.isupper() and (len(got) < 6 or gain < SWAP_CAPITALS_PAIR):
             return False
         return True
-    return gain >= SWAP_SHORT_PAIR
+    if any(not c.isalpha() and c.isprintable() and c != "\xa0" for c in run):  # signs amid letters, not mere blanks
+        return now / pairs <= SWAP_SIGNS_LEFT
+    return gain >= SWAP_SHORT_PAIR and now / pairs <= 1.3 * SWAP_LEFT
 
 
 #: Values with none of these characters can't be garbled.
