@@ -139,14 +139,14 @@ def merge_pieces(pieces: Column, left: str, right: str) -> Column:
 # ------------------------------------------------------------------ training
 def _merge(pieces: list[str], a: str, b: str) -> list[str]:
     out: list[str] = []
-    i, n = 0, len(pieces)
-    while i < n:
-        if pieces[i] == a and i + 1 < n and pieces[i + 1] == b:
-            out.append(a + b)
-            i += 2
+    waiting = False  # the last piece is a left one that may still be joined
+    for p in pieces:
+        if waiting and p == b:
+            out[-1] = a + b
+            waiting = False
         else:
-            out.append(pieces[i])
-            i += 1
+            out.append(p)
+            waiting = p == a
     return out
 
 

@@ -1,9 +1,11 @@
 import shutil
+from pathlib import Path
 
 import pytest
 
 import __spark_entry__
 from qatlam.plans import catalogue
+from qatlam.session import materialise, release, shared_folder
 from qatlam.streaming import rowwise as R
 from tests.conftest import same
 
@@ -35,5 +37,12 @@ def test_query(spark, data, duck, name):
         assert df.count() > 0
 
 
+def test_written_tables(spark):
+    df = materialise(spark.range(5).toDF("n"), "five")
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    assert df.count() == 5 and any(p.name.startswith("five-") for p in folder.iterdir())
+    assert release(spark) >= 1 and not any(p.name.startswith("five-") for p in folder.iterdir())
+
+
 def test_entry():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
