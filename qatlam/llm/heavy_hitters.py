@@ -7,37 +7,78 @@ rest are lengthened, and after the last round few values remain, which are count
 Memory is bounded in every round by the number of prefixes, never by that of the values: at most
 ``2 ** FIRST_BITS`` groups in the first round, and then at most (rows / bound) prefixes are kept,
 each split ``2 ** STEP_BITS`` ways at most. Every round is a scan with one small aggregation.
+A field whose rows / bound exceeds ``HELD`` isn't refined further: on a flat column no prefix can be
+dropped, and all values behind those it has are counted, in a shuffle that may spill.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import defaultdict
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FIRST_BITS, STEP_BITS = 12, 12
 ROUNDS = 3  # 12, 24 and 36 bits, then the values themselves
+#: Prefixes of a field that may come to the driver after the first round.
+HELD = 1 << 17
 
 
 def _prefix(bits: int):
     return F.shiftrightunsigned(F.xxhash64("value"), 64 - bits)
 
 
-def _surviving(rows: DataFrame, bounds: dict[str, int]) -> DataFrame:
-    """The rows whose value may still reach its field's bound, after all rounds of prefixes.
+def _within(rows: DataFrame, held: dict[str, tuple[int, list[int]]]) -> DataFrame:
+    """The rows whose value begins with a prefix held for its field; by field, their length in bits and the prefixes."""
+    spark = rows.sparkSession
+    lengths = spark.createDataFrame([(f, bits) for f, (bits, _) in held.items()], "field string, bits int")
+    prefixes = spark.createDataFrame([(f, p) for f, (_, found) in held.items() for p in found], "field string, prefix long")
+    cut = rows.join(F.broadcast(lengths), "field").withColumn("prefix", F.call_function("shiftrightunsigned", F.xxhash64("value"), F.lit(64) - F.col("bits")))
+    return cut.join(F.broadcast(prefixes), ["field", "prefix"], "left_semi").select("field", "id", "value")
+
+
+def _exact(rows: DataFrame) -> DataFrame:
+    return rows.distinct().groupBy("field", "value").agg(F.count(F.lit(1)).alias("ids"))
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("ids"), "value")))
+
+
+def _surviving(rows: DataFrame, bounds: dict[str, int], k: int = 0) -> tuple[DataFrame, dict[str, int]]:
+    """The rows whose value may still reach its field's bound, after all rounds of prefixes, and the bounds.
 
     The prefixes kept between rounds are few by arithmetic: their counts add up to the rows, and
-    each reaches the bound.
+    each reaches the bound. With ``k``, bounds begin at 1 and are raised: the ``k`` heaviest prefixes
+    of a round hold ``k`` values at least, and the k-th of their exact counts is a lower bound for
+    the k-th of all.
     """
-    spark = rows.sparkSession
-    limit = spark.createDataFrame(list(bounds.items()), "field string, bound long")
-    kept = rows
+    bounds = dict(bounds)
+    held: dict[str, tuple[int, list[int]]] = {}
+    going: set[str] = set()
     for r in range(ROUNDS):
         bits = FIRST_BITS + r * STEP_BITS
-        counted = kept.groupBy("field", _prefix(bits).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-        found = counted.join(F.broadcast(limit), "field").where("n >= bound").select("field", "prefix").collect()
-        held = spark.createDataFrame([tuple(x) for x in found], "field string, prefix long")
-        kept = rows.withColumn("prefix", _prefix(bits)).join(F.broadcast(held), ["field", "prefix"], "left_semi").drop("prefix")
-    return kept
+        counted = (_within(rows, {f: held[f] for f in going}) if r else rows).groupBy("field", _prefix(bits).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        if r:
+            limit = rows.sparkSession.createDataFrame([(f, bounds[f]) for f in going], "field string, bound long")
+            counted = counted.join(F.broadcast(limit), "field").where("n >= bound")
+        found: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for x in counted.select("field", "n", "prefix").collect():
+            found[x["field"]].append((x["n"], x["prefix"]))
+        heaviest = {f: (bits, [p for _, p in sorted(x, reverse=True)[:k]]) for f, x in found.items() if len(x) > k} if k and r < ROUNDS - 1 else {}
+        if heaviest:
+            for x in _ranked(_exact(_within(rows, heaviest))).where(F.col("rank") == k).collect():
+                bounds[x["field"]] = max(bounds.get(x["field"], 1), x["ids"])
+        going = set()
+        for f, x in found.items():
+            bound = bounds.setdefault(f, 1)
+            reached = [(n, p) for n, p in x if n >= bound]
+            held[f] = (bits, [p for _, p in reached])
+            if reached and sum(n for n, _ in reached) // bound <= HELD:
+                going.add(f)
+        if not going:
+            break
+    return _within(rows, held), bounds
 
 
 def distinct_ids(rows: DataFrame) -> dict[str, int]:
@@ -53,40 +94,24 @@ def frequent_values(rows: DataFrame, percent: int) -> DataFrame:
     repeated rows count once, an empty text is a value like any other. Counts are exact. Prefix
     counts include the repeats, so they still bound the number of ids from above.
     """
-    rows = rows.where("value is not null and id is not null").select("field", "id", "value")
+    rows = rows.where("field is not null and value is not null and id is not null").select("field", "id", "value")
     totals = distinct_ids(rows)
     bounds = {f: max(1, -(-n * percent // 100)) for f, n in totals.items()}
     limit = rows.sparkSession.createDataFrame(list(bounds.items()), "field string, bound long")
-    exact = _surviving(rows, bounds).distinct().groupBy("field", "value").agg(F.count(F.lit(1)).alias("ids"))
+    exact = _exact(_surviving(rows, bounds)[0])
     return exact.join(F.broadcast(limit), "field").where("ids >= bound").select("field", F.col("value").alias("item"), "ids")
 
 
-#: Counters the sketch keeps for each field when it names the first candidates.
-SKETCH_ITEMS = 8192
-
-
 def top_values(rows: DataFrame, k: int) -> DataFrame:
     """(field, item, ids, rank): the ``k`` most frequent values of each field, ties in order of the value.
 
-    A sketch names ``k`` candidates; the least of their exact counts is the first lower bound, for
-    the k-th value can't have less. What the refinement keeps beyond it is counted and ranked, so
-    the result is exact whatever the sketch named. With fewer values than ``k``, all are given.
+    The bound that drops prefixes comes from exact counts of at least ``k`` values behind the
+    heaviest prefixes, so the result is exact. With fewer values than ``k``, all are given.
     """
-    from pyspark.sql import Window
-
-    rows = rows.where("value is not null and id is not null").select("field", "id", "value")
-    spark = rows.sparkSession
-    named = rows.groupBy("field").agg(F.expr(f"approx_top_k(value, {k}, {max(SKETCH_ITEMS, 8 * k)})").alias("top"))
-    candidates = [(x["field"], t["item"]) for x in named.collect() for t in x["top"]]
-    held = spark.createDataFrame(candidates, "field string, value string")
-    counted = rows.join(F.broadcast(held), ["field", "value"]).distinct().groupBy("field", "value").agg(F.count(F.lit(1)).alias("ids"))
-    least: dict[str, list[int]] = {}
-    for x in counted.collect():
-        least.setdefault(x["field"], []).append(x["ids"])
-    bounds = {f: min(n) if len(n) >= k else 1 for f, n in least.items()}
-    limit = spark.createDataFrame(list(bounds.items()), "field string, bound long")
-    exact = _surviving(rows, bounds).distinct().groupBy("field", "value").agg(F.count(F.lit(1)).alias("ids"))
-    ranked = exact.join(F.broadcast(limit), "field").where("ids >= bound").withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("ids"), "value")))
+    rows = rows.where("field is not null and value is not null and id is not null").select("field", "id", "value")
+    kept, bounds = _surviving(rows, {}, k)
+    limit = rows.sparkSession.createDataFrame(list(bounds.items()), "field string, bound long")
+    ranked = _ranked(_exact(kept).join(F.broadcast(limit), "field").where("ids >= bound"))
     return ranked.where(F.col("rank") <= k).select("field", F.col("value").alias("item"), "ids", "rank")
 
 

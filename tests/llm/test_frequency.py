@@ -83,3 +83,22 @@ def test_top_values(spark, k):
 def test_no_values(spark):
     empty = spark.createDataFrame([("a", 1, None)], "field string, id long, value string")
     assert H.frequent_values(empty, 1).count() == 0 and H.top_values(empty, 3).count() == 0
+
+
+@pytest.mark.parametrize("held", [H.HELD, 50])
+def test_top_values_of_flat_columns(spark, monkeypatch, held):
+    """More distinct values than a sketch has counters: no value, or fewer than k, stand out."""
+    k, most, within = 20, [], H._within
+    monkeypatch.setattr(H, "HELD", held)
+    monkeypatch.setattr(H, "_within", lambda rows, kept: most.extend(len(p) for _, p in kept.values()) or within(rows, kept))
+    flat = spark.range(60_000).selectExpr("'flat' field", "id", "concat('v', id) value")
+    few = flat.selectExpr("'few' field", "id", "value").unionAll(spark.range(600).selectExpr("'few'", "100000 + id", "concat('heavy', id % 3)"))
+    steep = spark.range(60_000).selectExpr("'steep' field", "id", "concat('w', if(id < 30000, id % 30, id)) value")
+    got = defaultdict(list)
+    for x in H.top_values(flat.unionAll(few).unionAll(steep), k).orderBy("field", "rank").collect():
+        got[x["field"]].append((x["item"], x["ids"]))
+    names = sorted(f"v{i}" for i in range(60_000))
+    assert got["flat"] == [(v, 1) for v in names[:k]]
+    assert got["few"] == [(f"heavy{i}", 200) for i in range(3)] + [(v, 1) for v in names[: k - 3]]
+    assert got["steep"] == [(v, 1000) for v in sorted(f"w{i}" for i in range(30))[:k]]
+    assert most and max(most) <= max(held, 2**H.FIRST_BITS)
