@@ -10,7 +10,8 @@ from qatlam.operators import bpe as B
 from qatlam.plans import fragments as S
 from qatlam.sources.tables import table
 
-VOCAB_SIZE = 1200
+#: The operator's default; base characters take several hundred of it.
+VOCAB_SIZE = 8000
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from qatlam import train_bpe
 from qatlam.operators import bpe as B
+from qatlam.plans import pairs as P
 
 CORPUS = [
     "Salom! O'zbekiston - go'zal va mehmondo'st yurt!", "Maktablarimizda o'quvchilar va o'qituvchilar ko'p.", "Bog'da 100% yangi ko'chatlar va daraxtlar o'smoqda.",
@@ -108,3 +109,11 @@ def test_command(spark, tmp_path):
     train_bpe.main(["--corpus", str(tmp_path / "c.txt"), "--output", str(tmp_path / "o.json"), "--vocab_size", "30"])
     trained = B.Model.load(str(tmp_path / "o.json"))
     assert trained.vocab["[PAD]"] == 0 and "salom" in trained
+
+
+def test_registered_model_has_the_default_size(spark, data):
+    """The queries' merges are those of a model trained with nothing said of its size."""
+    full = B.train(P.table(spark, data, "documents"))
+    assert len(full.merges) > 1200
+    assert [(r["left"], r["right"]) for r in P.bpe_train(spark, data).orderBy("rank").collect()] == full.merges
+    assert P.bpe_train_plain(spark, data).count() > 1200
