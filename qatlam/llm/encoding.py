@@ -300,7 +300,7 @@ class Detector:
         seen, level = {run}, [run]
         one_alphabet = all("\u0400" <= c <= "\u052f" for c in run)
         for depth in range(3):
-            level = [got for text in level for got in _inverse_utf8(text) + (_inverse_wide(text) if depth == 0 else []) if not (got in seen or seen.add(got))][:40]
+            level = [got for text in level for got in _inverse_utf8(text) + (_inverse_wide(text) if depth == 0 else []) if not (got in seen or seen.add(got))]
             for got in level:
                 if not _plausible(got):
                     continue

@@ -84,3 +84,12 @@ def test_records(spark, rows):
 
 def test_long_value(detector):
     assert detector.judge("kitob " * 20_000)[0] is False
+
+
+def test_every_candidate_is_tried(monkeypatch):
+    detector = E.Detector(np.zeros((1, 1)))
+    monkeypatch.setattr(E, "_inverse_utf8", lambda text: [*(f"no{i}" for i in range(50)), "yes"] if text == "garbled" else [])
+    monkeypatch.setattr(E, "_inverse_wide", lambda text: [])
+    monkeypatch.setattr(E, "_plausible", lambda text: True)
+    monkeypatch.setattr(detector, "cost", lambda text: 0.0 if text == "yes" else 100.0)
+    assert detector._restore("garbled", "", "") == "yes"
