@@ -105,12 +105,26 @@ def _ends_here(para: str, start: int, mark: re.Match, close_end: int, closed: st
     return not (dash and closed) and not nxt.islower()
 
 
+def _closed_brackets(para: str) -> set[int]:
+    """The positions of the opening brackets whose partner follows."""
+    waiting: list[int] = []
+    closed: set[int] = set()
+    for k, c in enumerate(para):
+        if c in BRACKET_OPEN:
+            waiting.append(k)
+        elif c in BRACKET_CLOSE and waiting:
+            closed.add(waiting.pop())
+    return closed
+
+
 def split_paragraph(para: str, base: int, out: list[tuple[int, int]]) -> None:
     """Append the (start, end) of the sentences of a text without blank lines, moved by ``base``."""
     n = len(para)
     start = _SPACE.match(para).end()
     counted, depth, plain_open = start, 0, False  # brackets and straight quotes from start to counted
     bracket_inside = False
+    # a bracket that never closes holds nothing together
+    closing = _closed_brackets(para) if any(c in para for c in BRACKET_OPEN) else set()
     pos = start
     for mark in _MARK.finditer(para, start):
         if mark.start() < pos:
@@ -120,6 +134,8 @@ def split_paragraph(para: str, base: int, out: list[tuple[int, int]]) -> None:
         if "(" in piece or ")" in piece or "[" in piece or "（" in piece or "）" in piece or "]" in piece or '"' in piece:
             for k, c in enumerate(piece, counted):
                 if c in BRACKET_OPEN:
+                    if k not in closing:
+                        continue
                     if depth == 0:
                         bracket_inside = bool(para[start:k].strip(' "«“—–-\t\r\n '))
                     depth += 1
@@ -154,9 +170,6 @@ def split_paragraph(para: str, base: int, out: list[tuple[int, int]]) -> None:
             break
         if inside:
             continue  # a bracket within the sentence: it goes on
-        if depth > 0 and not closed:
-            # a bracket that holds whole sentences: break inside it as usual
-            pass
         gap = _SPACE.match(para, end).end() - end
         look = _NEXT.match(para, end)
         after = look.end()

@@ -50,3 +50,12 @@ def test_table(spark):
     assert {(r["start_char"], r["end_char"]) for r in rows if r["doc_id"] == 1} == {(0, 4), (5, 10)}
     assert {r["doc_id"] for r in rows} == {1, 5} and sum(r["doc_id"] == 5 for r in rows) == 20_000
     assert split_sentences(df.limit(0)).count() == 0
+
+
+def test_brackets_that_never_close():
+    def parts(text):
+        return [text[a:b] for a, b in sentence_spans(text)]
+
+    assert parts("Yomon kun :( edi. Keyin ketdim. Tamom.") == ["Yomon kun :( edi.", "Keyin ketdim.", "Tamom."]
+    assert parts("Bu (kim bor edi. Keyin (ha. rost) ketdim. Tamom.") == ["Bu (kim bor edi.", "Keyin (ha. rost) ketdim.", "Tamom."]
+    assert parts("Bu (kim bor? ha. rost) yaxshi. Tamom.") == ["Bu (kim bor? ha. rost) yaxshi.", "Tamom."]
