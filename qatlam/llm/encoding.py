@@ -11,21 +11,28 @@ Three steps, none of which shuffles the texts:
    segments (Ruzzo and Tompa's linear-time algorithm).
 3. *Inverse mappings.* Only inside those runs, the inverse of each known confusion is tried, up to
    three times in a row; it is accepted if the run becomes that much more probable. A swap of
-   one-byte alphabets is also accepted if it makes the run one of the corpus's common words.
+   one-byte alphabets leaves no structure, so exact word counts have a say in it: what is more
+   common than the word it would stand for is no garbled word, and a swap the pairs leave open is
+   taken if it makes a far more common word.
 
-A value that holds U+FFFD or a C1 control was decoded wrongly too, though the text may be lost.
+A value that holds U+FFFD, a C1 control or a question mark amid its letters was decoded wrongly
+too, though the text may be lost.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qatlam.session import materialise
+
 # ------------------------------------------------------------------ classes
 _SINGLE = 0x530  # code points below have a class each, folded to small letters
 _BLOCK = 0x80  # from there to _WIDE, a class for each block of so many
@@ -33,7 +40,7 @@ _WIDE = 0xA000
 _FIRST_BLOCK = _SINGLE
 _FIRST_WIDE = _FIRST_BLOCK + (_WIDE - _SINGLE) // _BLOCK + 1
 #: Classes in all; the pair table has at most the square of it.
-CLASSES = _FIRST_WIDE + 0x110000 // 0x1000 + 1
+CLASSES = _FIRST_WIDE + 0x110000 // 0x1000 + 2
 
 _table: np.ndarray | None = None
 
@@ -48,6 +55,7 @@ def class_table() -> np.ndarray:
             low = chr(c).lower()
             t[c] = ord(low) if len(low) == 1 and ord(low) < _SINGLE else c
         t[ord("0") : ord("9") + 1] = ord("0")
+        t[0xFF61:0xFFA0] = CLASSES - 1  # half-width katakana, apart from the full-width letters of their block
         _table = t.astype(np.int32)
     return _table
 
@@ -157,15 +165,16 @@ def _reverse_map(codec: str) -> dict[int, int]:
     return out
 
 
-# The encodings that text of these languages is commonly mistaken for.
-_BYTE_CODECS = ("cp1252", "latin-1", "cp1251", "koi8-r", "koi8-u", "cp866", "mac_cyrillic", "mac_roman", "cp437", "cp850", "cp1254", "cp1250", "cp852")
+# The encodings that text of these languages is commonly mistaken for, by the bytes
+# a letter takes in them, and those that hold Cyrillic or accented Latin letters in one byte.
+_BYTE_CODECS = (
+    "cp1252 latin-1 cp1251 koi8-r koi8-u cp866 mac_cyrillic mac_roman cp437 cp850 cp1254 cp1250 cp852 iso8859-5 iso8859-9 iso8859-2 iso8859-15 iso8859-7 cp1253 cp1255 cp1256 cp1257 cp1258 "
+    "cp855 cp857 cp858 cp1125 cp775 cp874 mac_turkish mac_latin2 mac_greek iso8859-4 iso8859-10 iso8859-13 iso8859-16 ptcp154 kz1048 koi8-t"
+).split()
+_WIDE_CODECS = "gb18030 big5 cp932 cp949 euc_jp".split()
+_CYRILLIC_CODECS = "cp1251 koi8-r koi8-u cp866 iso8859-5 mac_cyrillic cp855 cp1125 ptcp154 kz1048 koi8-t".split()
+_LATIN_CODECS = "cp1252 cp1254 cp437 cp850 cp857 mac_roman mac_turkish".split()
 _MAPS = {c: _reverse_map(c) for c in _BYTE_CODECS}
-#: One-byte text taken for other one-byte text: (mistaken for, really).
-_SINGLE_BYTE = (
-    ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp866"),
-    ("cp866", "cp1251"), ("koi8-r", "cp866"), ("cp866", "koi8-r"), ("mac_cyrillic", "cp1251"), ("cp1251", "mac_cyrillic"), ("mac_roman", "cp1251"),
-    ("cp437", "cp866"), ("cp437", "cp1251"), ("cp850", "cp1251"), ("cp850", "cp866"), ("cp1250", "cp1251"),
-)
 
 
 def _to_bytes(text: str, codec: str) -> bytes | None:
@@ -188,41 +197,77 @@ def _inverse_utf8(text: str) -> list[str]:
             continue
         if got != text and got not in out:
             out.append(got)
+    if any("\u2e80" <= c for c in text):
+        for codec in _WIDE_CODECS:
+            try:
+                got = text.encode(codec).decode("utf-8")
+            except UnicodeError:
+                continue
+            if got != text and got not in out:
+                out.append(got)
     return out
 
 
-def _inverse_wide(text: str) -> list[str]:
-    """Bytes of ASCII text that were read two by two."""
+def _inverse_pairs(text: str) -> list[str]:
+    """Bytes that were read two by two, in this or the other order."""
     out: list[str] = []
     if all(0x2000 < ord(c) < 0x10000 for c in text):
-        for codec in ("utf-16-le", "utf-16-be"):
+        for codec, other in (("utf-16-le", "utf-16-be"), ("utf-16-be", "utf-16-le")):
             try:
                 raw = text.encode(codec)
-                if all(b >= 0x20 for b in raw):
-                    got = raw.decode("utf-8")
-                    if any(map(str.isalpha, got)) and got.isascii() or got.replace("ʻ", "").replace("ʼ", "").isascii():
-                        out.append(got)
-            except (UnicodeDecodeError, UnicodeEncodeError):
-                pass
+            except UnicodeEncodeError:
+                continue
+            for right in ("utf-8", other):
+                try:
+                    got = raw.decode(right)
+                except UnicodeDecodeError:
+                    continue
+                if any(map(str.isalpha, got)) and all(c < "\u0530" or c in "‘’“”–—" for c in got) and got not in out:
+                    out.append(got)
     return out
 
 
+def _inverse_halves(text: str) -> str | None:
+    """Text whose two-byte characters were read byte by byte, which leaves controls between the letters."""
+    for codec in ("latin-1", "cp1252", "cp1251", "koi8-r", "cp866"):
+        raw = _to_bytes(text, codec)
+        if raw is None:
+            continue
+        for right in ("utf-16-le", "utf-16-be"):
+            try:
+                got = raw.decode(right)
+            except UnicodeDecodeError:
+                continue
+            if _plausible(got) and all(c < "\u0530" for c in got):
+                return got
+    return None
+
+
 def _inverse_single(text: str) -> list[str]:
+    """What the bytes of one-byte text read as in the other alphabets it may have been written in."""
     out: list[str] = []
-    for wrong, right in _SINGLE_BYTE:
+    seen = {text}
+    right = _CYRILLIC_CODECS + _LATIN_CODECS
+    for wrong in _BYTE_CODECS:
         raw = _to_bytes(text, wrong)
-        if raw is None:
-            continue
-        try:
-            got = raw.decode(right)
-        except UnicodeDecodeError:
+        if raw is None or raw in seen:
             continue
-        if got != text and got not in out:
-            out.append(got)
+        seen.add(raw)
+        for codec in right:
+            try:
+                got = raw.decode(codec)
+            except UnicodeDecodeError:
+                continue
+            if got not in seen:
+                seen.add(got)
+                out.append(got)
     return out
 
 
-_LOST = re.compile("[\x80-\x9f�]")
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1a]")
+_LOST = re.compile("[\x00-\x08\x0e-\x1a\x80-\x9f\ufffd]|(?<=[^\\W\\d_])\\?+(?=[^\\W\\d_])")
+#: Parts of drawn tables. In a garbled corpus they meet so often that no run of them is improbable.
+_DRAWN = re.compile("[\u2500-\u259f]{2}")
 _NOT_ASCII = re.compile("[^\x00-\x7f]+")
 _LETTERS = re.compile(r"[^\W\d_ʻʼ]")
 
@@ -234,28 +279,30 @@ THETA, SEGMENT = 0.0, 1.0
 #: stands, or if the mapping leads to a script that is far from alphabets and punctuation.
 UTF_BONUS, UTF_STRANGE = 1.5, 2.0
 
-
-#: Common Cyrillic words that a swap of alphabets may lead to: at most so many, each of bounded length.
-COMMON_WORDS, COMMON_LETTERS = 4096, (4, 40)
-#: How many times more common than the run the word must be.
+#: A swap that isn't sure by itself is taken if it makes a word so many times as common as the run.
 COMMON_TIMES = 4
+#: A garbled form isn't more common than what it stands for, unless it occurs no more often than this.
+RARE_RUN = 4
+#: Letters that a word needs for its commonness to tell.
+COMMON_LETTERS = 4
 
+#: How sure a verdict is: an inverse mapping to Unicode or lost characters; a swap of alphabets
+#: by the pairs alone; a swap that needs the words' counts.
+SURE, SWAP, OPEN = "sure", "swap", "open"
 
-def common_words(texts: DataFrame) -> dict[str, int]:
-    """The most common Cyrillic words with their counts, by a sketch over all rows."""
-    low, high = COMMON_LETTERS
-    rows = texts.select(F.lower(F.col(texts.columns[0])).alias("word")).where(f"word rlike '^[\\u0400-\\u052f]{{{low},{high}}}$'")
-    top = rows.agg(F.expr(f"approx_top_k(word, {COMMON_WORDS}, {8 * COMMON_WORDS})").alias("top")).first()["top"]
-    return {x["item"]: x["count"] for x in top or []}
+
+class Verdict(NamedTuple):
+    kind: str | None  # None: not garbled
+    restored: str | None = None
+    candidates: tuple[str, ...] = ()  # for OPEN: the words it may be, the most probable first
 
 
 class Detector:
-    """Judges single values against the corpus scores and, for swaps of alphabets, its common words."""
+    """Judges single values against the corpus scores."""
 
-    def __init__(self, scores: np.ndarray, common: dict[str, int] | None = None):
+    def __init__(self, scores: np.ndarray):
         self.scores = scores
-        self.common = common or {}
-        self._kept: dict[str, tuple[bool, str | None]] = {}
+        self._kept: dict[str, Verdict] = {}
 
     def improbability(self, text: str) -> list[float]:
         cls = classes_of(text)
@@ -278,6 +325,7 @@ class Detector:
             if not touched:
                 continue
             spans.append((min(lo, touched[0][0]), max(hi, touched[-1][1])))
+        spans += [(a, b) for a, b in stretches if _DRAWN.search(text, a, b)]
         merged: list[tuple[int, int]] = []
         for lo, hi in sorted(spans):
             if merged and lo <= merged[-1][1]:
@@ -294,33 +342,45 @@ class Detector:
             hi -= 1
         return lo, hi
 
-    def _restore(self, run: str, left: str, right: str) -> str | None:
+    def _restore(self, run: str, left: str, right: str) -> Verdict:
         old = self.cost(left + run + right)
         best, best_cost = None, old
         seen, level = {run}, [run]
+        reached = [run]
         one_alphabet = all("\u0400" <= c <= "\u052f" for c in run)
         for depth in range(3):
-            level = [got for text in level for got in _inverse_utf8(text) + (_inverse_wide(text) if depth == 0 else []) if not (got in seen or seen.add(got))]
+            level = [got for text in level for got in _inverse_utf8(text) + (_inverse_pairs(text) if depth == 0 else []) if not (got in seen or seen.add(got))]
+            reached += level
             for got in level:
-                if not _plausible(got):
+                if not _plausible(got) or _mixed(got, left, right):
                     continue
                 strange = one_alphabet or any("\u052f" < c < "\u1e00" or c > "\u2300" for c in got)
                 now = self.cost(left + got + right) + (UTF_STRANGE if strange else -UTF_BONUS * max(depth + 1, len(run) - len(got)))
                 if now < best_cost:
                     best, best_cost = got, now
         if best is not None:
-            return best
+            return Verdict(SURE, best)
         best_cost = old
+        kind = None
         whole = not (left.isalpha() or right.isalpha())
-        for got in _inverse_single(run):
-            if _plausible(got) and (now := self.cost(left + got + right)) < best_cost:
-                word = got.lower()
-                known = whole and self.common.get(word, 0) > COMMON_TIMES * self.common.get(run.lower(), 0)
-                if known or _swap_is_sure(run, got, old, now):
-                    best, best_cost = got, now
-        return best
+        unsure: list[tuple[float, str]] = []
+        for text in reached:
+            # a swap below a mapping to valid UTF-8 rests on that structure too
+            for got in _inverse_single(text):
+                if _plausible(got) and ((now := self.cost(left + got + right)) < old or _DRAWN.search(run)):
+                    if _accent_is_sure(run, got, left, right, old, now):
+                        if now < best_cost:
+                            best, best_cost, kind = got, now, SURE
+                    elif _swap_is_sure(run, got, left, right, old, now):
+                        if now < best_cost or best is None:
+                            best, best_cost, kind = got, now, SURE if text is not run else SWAP
+                    elif whole and len(got) >= COMMON_LETTERS and _CYRILLIC_WORD.fullmatch(got) and _same_case(got):
+                        unsure.append((now, got))
+        if best is not None:
+            return Verdict(kind, best)
+        return Verdict(OPEN, None, tuple(got for _, got in sorted(unsure))) if unsure else Verdict(None)
 
-    def judge(self, text: str) -> tuple[bool, str | None]:
+    def judge(self, text: str) -> Verdict:
         """Whether ``text`` was decoded wrongly, and the right text if it can still be had."""
         kept = self._kept.get(text)
         if kept is None:
@@ -330,21 +390,29 @@ class Detector:
             self._kept[text] = kept
         return kept
 
-    def _judge(self, text: str) -> tuple[bool, str | None]:
+    def _judge(self, text: str) -> Verdict:
         lost = _LOST.search(text) is not None
-        out, at, changed = [], 0, False
+        if _CONTROL.search(text) and (got := _inverse_halves(text)):
+            return Verdict(SURE, got)
+        out, at, kinds = [], 0, set()
+        candidates: list[str] = []
         for lo, hi in self.runs(text):
             lo, hi = self._trim(text, lo, hi)
-            got = self._restore(text[lo:hi], text[lo - 1] if lo else "\0", text[hi] if hi < len(text) else "\0") if hi > lo else None
+            got = self._restore(text[lo:hi], text[lo - 1] if lo else "\0", text[hi] if hi < len(text) else "\0") if hi > lo else Verdict(None)
             out.append(text[at:lo])
-            out.append(text[lo:hi] if got is None else got)
-            changed |= got is not None
+            out.append(text[lo:hi] if got.restored is None else got.restored)
+            kinds.add(got.kind)
+            candidates += [text[:lo] + c + text[hi:] for c in got.candidates]
             at = hi
         out.append(text[at:])
         whole = "".join(out)
-        if not changed:
-            return lost, None
-        return True, None if _LOST.search(whole) else whole
+        for kind in (SURE, SWAP):
+            if kind in kinds:
+                kind = SURE if lost else kind
+                return Verdict(kind, None if _LOST.search(whole) else whole)
+        if lost:
+            return Verdict(SURE)
+        return Verdict(OPEN, None, tuple(candidates)) if candidates else Verdict(None)
 
 
 def _plausible(text: str) -> bool:
@@ -357,17 +425,24 @@ def _plausible(text: str) -> bool:
 #: short words need more, for abbreviations and foreign words look much the same; signs amid the
 #: letters need less.
 SWAP_GAIN, SWAP_PAIR, SWAP_LEFT, SWAP_SHORT_PAIR, SWAP_CAPITALS_PAIR, SWAP_SIGNS_LEFT = 6.0, 1.0, 0.9, 1.45, 1.8, 1.6
+_CYRILLIC_WORD = re.compile("[\u0400-\u052f]+")
+
+
+def _same_case(text: str) -> bool:
+    return text.islower() or text.isupper() or (text[:1].isupper() and text[1:].islower())
 
 
-def _swap_is_sure(run: str, got: str, old: float, now: float) -> bool:
+def _swap_is_sure(run: str, got: str, left: str, right: str, old: float, now: float) -> bool:
     letters = _LETTERS.findall(got)
     if len(letters) < 2 or len(letters) + sum(c in " .,-'ʻʼ" for c in got) < len(got):
         return False
-    if any("\u0400" <= c <= "\u052f" for c in letters) and any(c < "\u0370" for c in letters):
+    if _mixed(got, left, right):
         return False
-    if not (got.islower() or got.isupper() or (got[:1].isupper() and got[1:].islower())):
+    if not _same_case(got):
         return False
     pairs = len(got) + 1
+    if _DRAWN.search(run) and len(set(got)) > 2 and now / pairs <= SWAP_LEFT and all(c in letters for c in got):
+        return True
     gain = (old - now) / pairs
     cyrillic = all("\u0400" <= c <= "\u052f" for c in run)
     if old - now < SWAP_GAIN or gain < SWAP_PAIR:
@@ -385,29 +460,57 @@ def _swap_is_sure(run: str, got: str, old: float, now: float) -> bool:
     return gain >= SWAP_SHORT_PAIR and now / pairs <= 1.3 * SWAP_LEFT
 
 
+#: What one or two accented letters amid Latin ones must take away in improbability.
+ACCENT_GAIN = 1.0
+# Letters of other alphabets that look like Latin ones, so that they may be meant to.
+_LOOKALIKES = set("аеѕіјкорсухһԛԝАВЕЅІЈКМНОРСТУХҺԚԜ" "αγικνορυχωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "гզհոսօցյՍՕՏԼՀ")
+
+
+def _accent_is_sure(run: str, got: str, left: str, right: str, old: float, now: float) -> bool:
+    """Whether a short run inside a Latin word is its accented letters, read in another alphabet or as signs."""
+    if len(run) > 2 or len(got) != len(run) or old - now < ACCENT_GAIN or not (_ascii_letter(left) or _ascii_letter(right)):
+        return False
+    if any(unicodedata.category(c) not in ("Lu", "Ll", "So", "Sm", "Sc", "No") for c in run):
+        return False  # apostrophes, joiners and accents of their own
+    if any(c in _LOOKALIKES or c < "\u0250" and c.isalpha() and c not in "ÞÐÝþðý" for c in run):
+        return False
+    return all("\xc0" <= c < "\u0180" and c.isalpha() for c in got)
+
+
+def _ascii_letter(c: str) -> bool:
+    return c.isascii() and c.isalpha()
+
+
+def _mixed(got: str, left: str, right: str) -> bool:
+    """Whether Cyrillic and Latin letters would meet in a word that was neither before."""
+    return any("\u0400" <= c <= "\u052f" for c in got) and any(c.isalpha() and c < "\u0370" for c in got + left + right)
+
+
 #: Values with none of these characters can't be garbled.
-SUSPECT = "[^\\x00-\\x7f\\u02bb\\u02bc]"
+SUSPECT = "[^\\x09-\\x0d\\x1b-\\x7f\\u02bb\\u02bc]|\\p{L}\\?+\\p{L}"
+_SCHEMA = "kind string, restored string, candidates array<string>"
 
 
-def detect(df: DataFrame, scores: np.ndarray, common: dict[str, int], text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text was decoded wrongly, with ``restored`` (null where the text is lost).
+def detect(df: DataFrame, scores: np.ndarray, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text was or may have been decoded wrongly, with ``restored``, ``kind`` and ``candidates``.
 
-    Columns of ``df`` are kept as they are, but for one named ``restored``, which is replaced.
+    ``kind`` is sure, swap or open, see :class:`Verdict`; ``restored`` is null where the text is
+    lost or open. Columns of ``df`` are kept, but for those of these names, which are replaced.
     Null and empty texts are not garbled. Each batch judges its distinct values once.
     """
-    held = df.sparkSession.sparkContext.broadcast((scores, common))
-    rows = df.where(F.col(text_col).rlike(SUSPECT)).drop("restored")
+    held = df.sparkSession.sparkContext.broadcast(scores)
+    rows = df.where(F.col(text_col).rlike(SUSPECT)).drop("restored", "kind", "candidates")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = Detector(*held.value)
+        detector = Detector(held.value)
         for batch in batches:
             codes, values = pd.factorize(batch[text_col])
             verdicts = [detector.judge(v) for v in values]
-            flag = np.fromiter((v[0] for v in verdicts), dtype=bool, count=len(verdicts))[codes]
-            restored = np.array([v[1] for v in verdicts], dtype=object)[codes] if len(verdicts) else np.array([], dtype=object)
-            yield batch.assign(restored=restored)[flag]
+            flag = np.fromiter((v.kind is not None for v in verdicts), dtype=bool, count=len(verdicts))[codes]
+            kept = [verdicts[k] for k in codes[flag]]
+            yield batch[flag].assign(**{c: pd.Series([getattr(v, c) for v in kept], index=batch.index[flag], dtype=object) for c in Verdict._fields})
 
-    return rows.mapInPandas(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", restored string")
+    return rows.mapInPandas(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + _SCHEMA)
 
 
 def text_records(tokens: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -417,8 +520,30 @@ def text_records(tokens: DataFrame, analyses: DataFrame) -> DataFrame:
     )
 
 
+def decide_swaps(judged: DataFrame, texts: DataFrame) -> DataFrame:
+    """(text, restored) of the distinct texts of kind swap or open whose words' counts speak for a swap.
+
+    Exact counts of the values of ``texts``, in small letters, by their own group-by: a garbled
+    form isn't more common than the word it stands for (unless both are rare), and an open one must
+    be far less common. Only distinct texts meet in these joins.
+    """
+    undecided = judged.where("kind != 'sure'").select("text", "kind", F.when(F.col("kind") == "swap", F.array("restored")).otherwise(F.col("candidates")).alias("words")).distinct()
+    each = undecided.select("text", "kind", F.posexplode("words").alias("nth", "word")).withColumn("own_key", F.lower("text")).withColumn("word_key", F.lower("word"))
+    wanted = each.select(F.explode(F.array("own_key", "word_key")).alias("key")).distinct()
+    counts = texts.where(F.col("text").rlike(SUSPECT)).groupBy(F.lower("text").alias("key")).agg(F.count(F.lit(1)).alias("n")).join(wanted, "key", "left_semi")
+    counts = materialise(counts, "word-counts")
+    own, there = counts.select(F.col("key").alias("own_key"), F.col("n").alias("own")), counts.select(F.col("key").alias("word_key"), F.col("n").alias("there"))
+    found = each.join(own, "own_key", "left").join(there, "word_key", "left").fillna(0, ["own", "there"])
+    swap = (F.col("kind") == "swap") & (F.col("own") <= F.greatest(F.lit(RARE_RUN), F.col("there")))
+    open_ = (F.col("kind") == "open") & (F.col("there") > COMMON_TIMES * F.col("own"))
+    return found.where(swap | open_).groupBy("text").agg(F.min_by("word", "nth").alias("restored"))
+
+
 def find_garbled(records: DataFrame) -> DataFrame:
     """(tbl, row_id, text, restored) of every garbled record, once per id. Rows without an id are left out."""
-    records = records.where("row_id is not null")
+    records = records.where("row_id is not null").select("tbl", "row_id", "text")
     texts = records.select("text")
-    return detect(records, pair_scores(texts), common_words(texts)).dropDuplicates(["tbl", "row_id"])
+    judged = materialise(detect(records, pair_scores(texts)).dropDuplicates(["tbl", "row_id"]), "judged-values")
+    sure = judged.where("kind = 'sure'").select("tbl", "row_id", "text", "restored")
+    swapped = judged.where("kind != 'sure'").select("tbl", "row_id", "text").join(decide_swaps(judged, texts), "text")
+    return sure.unionByName(swapped.select("tbl", "row_id", "text", "restored"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qatlam.llm.encoding import Detector, common_words, pair_scores
+from qatlam.llm.encoding import SURE, SWAP, Detector, pair_scores
 
 # ------------------------------------------------------------------ fixed values
 #: Characters used for an apostrophe. The first two are the official ones.
@@ -168,14 +168,14 @@ def find_unusual(records: DataFrame) -> DataFrame:
     """
     records = records.where("row_id is not null")
     texts = records.select("text")
-    held = records.sparkSession.sparkContext.broadcast((pair_scores(texts), common_words(texts)))
+    held = records.sparkSession.sparkContext.broadcast(pair_scores(texts))
     rows = records.where(F.col("text").rlike(SUSPECT)).select("tbl", "row_id", "text")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = Detector(*held.value)
+        detector = Detector(held.value)
         for batch in batches:
             codes, values = pd.factorize(batch["text"])
-            flags = np.fromiter((is_case(v) and not detector.judge(v)[0] for v in values), dtype=bool, count=len(values))
+            flags = np.fromiter((is_case(v) and detector.judge(v).kind not in (SURE, SWAP) for v in values), dtype=bool, count=len(values))
             ordinary = np.array([ordinary_spelling(v) if f else None for v, f in zip(values, flags, strict=True)] or [None], dtype=object)
             keep = flags[codes] if len(values) else np.zeros(0, dtype=bool)
             yield batch[keep].assign(ordinary=ordinary[codes[keep]])
