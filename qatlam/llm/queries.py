@@ -82,12 +82,12 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split_sentences(table(spark, d, "documents"))
+    return sentences.split_sentences(table(spark, d, "documents"), lang_col="lang")
 
 
 def p8_per_document(spark: SparkSession, d: str) -> DataFrame:
     """By document, its sentences and the characters in them."""
-    found = sentences.split_sentences(table(spark, d, "documents"))
+    found = sentences.split_sentences(table(spark, d, "documents"), lang_col="lang")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.col("end_char") - F.col("start_char")).alias("chars"))
 
 

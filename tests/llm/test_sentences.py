@@ -59,3 +59,47 @@ def test_brackets_that_never_close():
     assert parts("Yomon kun :( edi. Keyin ketdim. Tamom.") == ["Yomon kun :( edi.", "Keyin ketdim.", "Tamom."]
     assert parts("Bu (kim bor edi. Keyin (ha. rost) ketdim. Tamom.") == ["Bu (kim bor edi.", "Keyin (ha. rost) ketdim.", "Tamom."]
     assert parts("Bu (kim bor? ha. rost) yaxshi. Tamom.") == ["Bu (kim bor? ha. rost) yaxshi.", "Tamom."]
+
+
+def pieces(text, lang=None):
+    return [text[s:e] for s, e in sentence_spans(text, lang)]
+
+
+def test_every_terminator_of_the_property_ends_a_sentence():
+    for c in "܀܁܂؝؞؟߹࠷᪨᪩᭚᭛᰻᰼᱾᱿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꫰꫱꯫﹖﹗\U00011047⹓⹔。۔।။։።។":
+        assert pieces(f"ab{c} cd{c}") == [f"ab{c}", f"cd{c}"], hex(ord(c))
+    assert pieces("Soʻz bor﹒ Yana bor.") == ["Soʻz bor﹒", "Yana bor."]
+    assert pieces("စာ၊ စာ။ စာ။") == ["စာ၊ စာ။", "စာ။"]
+
+
+@pytest.mark.parametrize(
+    ("text", "lang", "count"),
+    [
+        ("Masofa 5 km. Biz yurdik.", "uz", 2), ("He works in the dept. Then he left.", "en", 2), ("The answer is No. We left.", "en", 2),
+        ("It is in No. Smith and co.", "EN", 1), ("Bu prof. Karimov edi. Biz bordik.", "uz", 2), ("Bu prof. Karimov edi. Biz bordik.", "en", 2),
+        ("The prof. Smith came. We left.", None, 2), ("Он живёт на ул. Ленина и не пишет. Это всё.", "ru", 2), ("Bu ev ve av. Sonra gitti.", "tr", 1), ("Uy va av. Keyin ketdi.", "uz", 2),
+    ],
+)
+def test_abbreviations_are_those_of_the_language(text, lang, count):
+    assert len(pieces(text, lang)) == count
+
+
+@pytest.mark.parametrize("unit", ["Soʻz bordi. ", "a b (c. d) ", "a. b ", "(a ", "\"a. ", "1. ", "... "])
+def test_time_grows_with_the_text(unit):
+    import time
+
+    def taken(n):
+        best = 9e9
+        for _ in range(2):
+            began = time.process_time()
+            sentence_spans(unit * n)
+            best = min(best, time.process_time() - began)
+        return best
+
+    n = 60_000 // len(unit)
+    assert taken(8 * n) < 8 * 2.5 * taken(n) + 0.2
+
+
+def test_language_column(spark):
+    df = spark.createDataFrame([(1, "Uy va av. Keyin ketdi.", None), (2, "Bu ev ve av. Sonra gitti.", "tr"), (3, None, "tr")], "doc_id long, text string, lang string")
+    assert {(r["doc_id"], r["start_char"], r["end_char"]) for r in split_sentences(df, lang_col="lang").collect()} == {(1, 0, 9), (1, 10, 22), (2, 0, 25)}
