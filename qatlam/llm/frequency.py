@@ -3,9 +3,10 @@
 Heavy-light aggregation. A sketch over all rows names the terms that may be heavy; the choice only
 steers the work, for both kinds are then counted exactly:
 
-* *heavy* terms (at most ``HEAVY_SLOTS``) are broadcast and become slot numbers. Their rows shuffle
-  as fixed-width numbers spread over all tasks, since a repeated row must be told by its id, and end
-  in each task's counters by slot: at most ``HEAVY_SLOTS`` rows a task meet in the last exchange.
+* *heavy* terms (a few for each partition of a shuffle) are broadcast and become slot numbers. Their
+  rows shuffle as fixed-width numbers spread over all tasks, since a repeated row must be told by
+  its id, and end in each task's counters by slot: at most a row for each slot and task meets in the
+  last exchange. The terms themselves, which may be long, stay where they are.
 * *light* terms shuffle once, by term. None of them holds more than a small share of the rows, and
   that one exchange serves taking out repeats, counting records and counting terms.
 
@@ -17,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Terms counted by slot at most, and the counters the sketch keeps to find them.
-HEAVY_SLOTS, SKETCH_ITEMS = 512, 8192
-#: A longer term is never broadcast, so that the broadcast side takes less than half a megabyte.
-HEAVY_MAX_CHARS = 200
+#: Terms counted by slot at least, slots for each partition of a shuffle, and the sketch's counters for each slot: a
+#: term that alone would make a task twice as long as the others gets a slot, whatever the size of the cluster.
+LEAST_SLOTS, SLOTS_A_PARTITION, COUNTERS_A_SLOT = 512, 4, 16
+#: A longer term goes by its digest, so that the broadcast side has a bounded size.
+KEY_CHARS = 64
 
 
 def occurrences(tokens: DataFrame, analyses: DataFrame, morph_tokens: DataFrame) -> DataFrame:
@@ -31,15 +33,27 @@ def occurrences(tokens: DataFrame, analyses: DataFrame, morph_tokens: DataFrame)
     return roots.unionAll(subtokens).unionAll(affixes).where("term is not null and term != ''")
 
 
+def _slots(occ: DataFrame) -> int:
+    return max(LEAST_SLOTS, SLOTS_A_PARTITION * int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _key() -> Column:
+    """A term with its field, in a bounded number of characters."""
+    short = F.when(F.length("term") <= KEY_CHARS, F.concat(F.lit("="), "term")).otherwise(F.concat(F.lit("#"), F.sha2("term", 256)))
+    return F.concat_ws("\x01", F.col("field"), short)
+
+
 def heavy_terms(occ: DataFrame) -> DataFrame:
-    """(slot, field, term) of the terms that may be heavy: at most ``HEAVY_SLOTS`` rows of bounded length."""
-    spark = occ.sparkSession
-    key = F.concat_ws("\x01", "field", "term")
-    rows = occ.where(F.length("term") <= HEAVY_MAX_CHARS).select(key.alias("key"))
-    found = rows.agg(F.expr(f"approx_top_k(key, {HEAVY_SLOTS}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    least = max(2, found["n"] // (4 * HEAVY_SLOTS))
-    keys = [x["item"].split("\x01", 1) for x in (found["top"] or []) if x["count"] >= least]
-    return spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(keys)], "slot int, field string, term string")
+    """(slot, key, field, term) of the terms that may be heavy, see :func:`_key`: rows of bounded number and length.
+
+    ``term`` is null for a term that goes by its digest.
+    """
+    spark, slots = occ.sparkSession, _slots(occ)
+    found = occ.select(_key().alias("key")).agg(F.expr(f"approx_top_k(key, {slots}, {COUNTERS_A_SLOT * slots})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    least = max(2, found["n"] // (4 * slots))
+    keys = [x["item"] for x in (found["top"] or []) if x["count"] >= least]
+    parts = [(i, k, *k.split("\x01", 1)) for i, k in enumerate(keys)]
+    return spark.createDataFrame([(i, k, f, t[1:] if t[0] == "=" else None) for i, k, f, t in parts], "slot int, key string, field string, term string")
 
 
 def term_frequencies(occ: DataFrame) -> DataFrame:
@@ -48,13 +62,18 @@ def term_frequencies(occ: DataFrame) -> DataFrame:
     A null record counts as an occurrence but as no record. Repeated rows count once. An empty
     input gives an empty table. Further columns are ignored.
     """
-    occ = occ.select("field", "term", "record", "id", "part")
+    occ = occ.select("field", "term", "record", "id", "part", _key().alias("key"))
     heavy = heavy_terms(occ)
-    named = F.broadcast(heavy)
-    heavy_rows = occ.join(named, ["field", "term"]).select("slot", "record", "id", "part").distinct()
-    by_slot = heavy_rows.groupBy("slot", "record").agg(F.count(F.lit(1)).alias("n")).groupBy("slot").agg(F.sum("n").alias("occurrences"), F.count("record").alias("records"))
-    heavy_counts = by_slot.join(named, "slot").select("field", "term", "occurrences", "records")
-    light_rows = occ.join(named, ["field", "term"], "left_anti").repartition("term").distinct()
+    named = F.broadcast(heavy.select("slot", "key"))
+    heavy_rows = occ.join(named, "key").select("slot", "record", "id", "part").distinct()
+    counters = heavy_rows.groupBy("slot", "record").agg(F.count(F.lit(1)).alias("n")).groupBy("slot").agg(F.sum("n").alias("occurrences"), F.count("record").alias("records"))
+    texts = heavy.select("slot", "field", "term")
+    if long := [x["key"] for x in heavy.where("term is null").collect()]:
+        # the text of a long heavy term is looked up: the first of each task and slot
+        found = occ.where((F.length("term") > KEY_CHARS) & F.col("key").isin(long)).join(named, "key").groupBy("slot").agg(F.first("field").alias("field"), F.first("term").alias("term"))
+        texts = texts.where("term is not null").unionAll(found.select("slot", "field", "term"))
+    heavy_counts = counters.join(texts, "slot").select("field", "term", "occurrences", "records")
+    light_rows = occ.join(named, "key", "left_anti").select("field", "term", "record", "id", "part").repartition("field", "term").distinct()
     light_counts = (
         light_rows.groupBy("field", "term", "record").agg(F.count(F.lit(1)).alias("n")).groupBy("field", "term").agg(F.sum("n").alias("occurrences"), F.count("record").alias("records"))
     )

@@ -1,40 +1,47 @@
 """Problem 4: the most frequent values of a column too large to count value by value.
 
 Exact prefix refinement. Hashes of the values are counted by prefix: a prefix's count is an upper
-bound for every value behind it, so prefixes below the bound a value must reach are dropped, the
-rest are lengthened, and after the last round few values remain, which are counted exactly.
+bound for every value behind it, so prefixes below the bound a value must reach are dropped and the
+rest are lengthened, until each prefix left has a single value behind it (told by the least and the
+greatest hash there). What remains is counted exactly.
 
 Memory is bounded in every round by the number of prefixes, never by that of the values: at most
 ``2 ** FIRST_BITS`` groups in the first round, and then at most (rows / bound) prefixes are kept,
-each split ``2 ** STEP_BITS`` ways at most. Every round is a scan with one small aggregation.
-A field whose rows / bound exceeds ``HELD`` isn't refined further: on a flat column no prefix can be
-dropped, and all values behind those it has are counted, in a shuffle that may spill.
+each split ``2 ** STEP_BITS`` ways at most. Every round is a scan with one aggregation whose counts
+are a written table; only figures by field come to the driver. A field whose rows / bound exceeds
+``HELD`` isn't refined further: on a flat column no prefix can be dropped, and all values behind
+those it has are counted, in a shuffle that may spill.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FIRST_BITS, STEP_BITS = 12, 12
-ROUNDS = 3  # 12, 24 and 36 bits, then the values themselves
-#: Prefixes of a field that may come to the driver after the first round.
-HELD = 1 << 17
+from qatlam.operators.lookup import BROADCAST_BYTES
+from qatlam.session import materialise
+from qatlam.sources.tables import small_enough
+
+FIRST_BITS, STEP_BITS, MOST_BITS = 12, 12, 60
+#: Prefixes of a field that a further round may keep, so that they can be broadcast: beyond, a join by shuffle with
+#: the prefixes would cost as much as counting the values behind them.
+HELD = 1 << 20
 
 
-def _prefix(bits: int):
-    return F.shiftrightunsigned(F.xxhash64("value"), 64 - bits)
+def _prefixed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("hash", F.xxhash64("value"))
 
 
-def _within(rows: DataFrame, held: dict[str, tuple[int, list[int]]]) -> DataFrame:
-    """The rows whose value begins with a prefix held for its field; by field, their length in bits and the prefixes."""
-    spark = rows.sparkSession
-    lengths = spark.createDataFrame([(f, bits) for f, (bits, _) in held.items()], "field string, bits int")
-    prefixes = spark.createDataFrame([(f, p) for f, (_, found) in held.items() for p in found], "field string, prefix long")
-    cut = rows.join(F.broadcast(lengths), "field").withColumn("prefix", F.call_function("shiftrightunsigned", F.xxhash64("value"), F.lit(64) - F.col("bits")))
-    return cut.join(F.broadcast(prefixes), ["field", "prefix"], "left_semi").select("field", "id", "value")
+def _within(rows: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """The rows (field, id, value) whose value begins with a prefix kept for its field: (field, bits, prefix)."""
+    if kept is None:
+        return rows
+    # a row for each field; there are few fields
+    lengths = F.broadcast(kept.select("field", "bits").distinct())
+    prefix = F.call_function("shiftrightunsigned", F.col("hash"), F.lit(64) - F.col("bits"))
+    cut = _prefixed(rows).join(lengths, "field").withColumn("prefix", prefix)
+    side = kept.select("field", "prefix")
+    return cut.join(F.broadcast(side) if small_enough(side, BROADCAST_BYTES) else side, ["field", "prefix"], "left_semi").select("field", "id", "value")
 
 
 def _exact(rows: DataFrame) -> DataFrame:
@@ -45,40 +52,44 @@ def _ranked(counts: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("ids"), "value")))
 
 
+def _limits(rows: DataFrame, bounds: dict[str, int]) -> DataFrame:
+    return F.broadcast(rows.sparkSession.createDataFrame(list(bounds.items()), "field string, bound long"))
+
+
 def _surviving(rows: DataFrame, bounds: dict[str, int], k: int = 0) -> tuple[DataFrame, dict[str, int]]:
     """The rows whose value may still reach its field's bound, after all rounds of prefixes, and the bounds.
 
-    The prefixes kept between rounds are few by arithmetic: their counts add up to the rows, and
-    each reaches the bound. With ``k``, bounds begin at 1 and are raised: the ``k`` heaviest prefixes
-    of a round hold ``k`` values at least, and the k-th of their exact counts is a lower bound for
-    the k-th of all.
+    With ``k``, bounds begin at 1 and are raised: the ``k`` heaviest prefixes of a round hold ``k``
+    values at least (if there are so many prefixes), and the k-th of their exact counts is a lower
+    bound for the k-th of all.
     """
     bounds = dict(bounds)
-    held: dict[str, tuple[int, list[int]]] = {}
-    going: set[str] = set()
-    for r in range(ROUNDS):
-        bits = FIRST_BITS + r * STEP_BITS
-        counted = (_within(rows, {f: held[f] for f in going}) if r else rows).groupBy("field", _prefix(bits).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-        if r:
-            limit = rows.sparkSession.createDataFrame([(f, bounds[f]) for f in going], "field string, bound long")
-            counted = counted.join(F.broadcast(limit), "field").where("n >= bound")
-        found: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for x in counted.select("field", "n", "prefix").collect():
-            found[x["field"]].append((x["n"], x["prefix"]))
-        heaviest = {f: (bits, [p for _, p in sorted(x, reverse=True)[:k]]) for f, x in found.items() if len(x) > k} if k and r < ROUNDS - 1 else {}
-        if heaviest:
+    kept: DataFrame | None = None  # prefixes of the fields being refined
+    done: list[DataFrame] = []  # and of those that are not any more
+    for bits in range(FIRST_BITS, MOST_BITS + 1, STEP_BITS):
+        hashed = _prefixed(_within(rows, kept))
+        counted = hashed.groupBy("field", F.shiftrightunsigned("hash", 64 - bits).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+        counted = materialise(counted.withColumn("bits", F.lit(bits)), "prefix-counts")
+        if k:
+            by_weight = Window.partitionBy("field").orderBy(F.desc("n"), "prefix")
+            heaviest = counted.withColumn("rank", F.row_number().over(by_weight)).where(F.col("rank") <= k).select("field", "bits", "prefix")
             for x in _ranked(_exact(_within(rows, heaviest))).where(F.col("rank") == k).collect():
                 bounds[x["field"]] = max(bounds.get(x["field"], 1), x["ids"])
-        going = set()
-        for f, x in found.items():
-            bound = bounds.setdefault(f, 1)
-            reached = [(n, p) for n, p in x if n >= bound]
-            held[f] = (bits, [p for _, p in reached])
-            if reached and sum(n for n, _ in reached) // bound <= HELD:
-                going.add(f)
-        if not going:
+        for x in counted.select("field").distinct().collect():
+            bounds.setdefault(x["field"], 1)
+        reached = counted.join(_limits(rows, bounds), "field").where("n >= bound")
+        figures = reached.groupBy("field").agg(F.sum("n").alias("rows"), F.count_if(F.col("low") < F.col("high")).alias("open")).collect()
+        # each prefix kept holds at least the bound, so no round keeps more than rows / bound
+        on = [x["field"] for x in figures if x["open"] and x["rows"] // bounds.get(x["field"], 1) <= HELD] if bits + STEP_BITS <= MOST_BITS else []
+        slim = reached.select("field", "bits", "prefix")
+        done.append(slim.where(~F.col("field").isin(on)))
+        kept = slim.where(F.col("field").isin(on))
+        if not on:
             break
-    return _within(rows, held), bounds
+    final = done[0]
+    for x in done[1:]:
+        final = final.unionAll(x)
+    return _within(rows, final), bounds
 
 
 def distinct_ids(rows: DataFrame) -> dict[str, int]:
@@ -97,9 +108,8 @@ def frequent_values(rows: DataFrame, percent: int) -> DataFrame:
     rows = rows.where("field is not null and value is not null and id is not null").select("field", "id", "value")
     totals = distinct_ids(rows)
     bounds = {f: max(1, -(-n * percent // 100)) for f, n in totals.items()}
-    limit = rows.sparkSession.createDataFrame(list(bounds.items()), "field string, bound long")
     exact = _exact(_surviving(rows, bounds)[0])
-    return exact.join(F.broadcast(limit), "field").where("ids >= bound").select("field", F.col("value").alias("item"), "ids")
+    return exact.join(_limits(rows, bounds), "field").where("ids >= bound").select("field", F.col("value").alias("item"), "ids")
 
 
 def top_values(rows: DataFrame, k: int) -> DataFrame:
@@ -110,8 +120,7 @@ def top_values(rows: DataFrame, k: int) -> DataFrame:
     """
     rows = rows.where("field is not null and value is not null and id is not null").select("field", "id", "value")
     kept, bounds = _surviving(rows, {}, k)
-    limit = rows.sparkSession.createDataFrame(list(bounds.items()), "field string, bound long")
-    ranked = _ranked(_exact(kept).join(F.broadcast(limit), "field").where("ids >= bound"))
+    ranked = _ranked(_exact(kept).join(_limits(rows, bounds), "field").where("ids >= bound"))
     return ranked.where(F.col("rank") <= k).select("field", F.col("value").alias("item"), "ids", "rank")
 
 

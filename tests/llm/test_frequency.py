@@ -21,7 +21,8 @@ def occurrences(n=4000, seed=1):
 
 @pytest.mark.parametrize("slots", [512, 2])
 def test_counts_against_brute_force(spark, monkeypatch, slots):
-    monkeypatch.setattr(Q, "HEAVY_SLOTS", slots)
+    monkeypatch.setattr(Q, "LEAST_SLOTS", slots)
+    monkeypatch.setattr(Q, "SLOTS_A_PARTITION", 0)
     rows = occurrences()
     n, records = Counter(), defaultdict(set)
     for f, t, r, _, _ in set(rows):
@@ -32,7 +33,7 @@ def test_counts_against_brute_force(spark, monkeypatch, slots):
     df = spark.createDataFrame(rows, OCC).where("term is not null and term != ''")
     got = {(x["field"], x["term"]): (x["occurrences"], x["records"]) for x in Q.term_frequencies(df).collect()}
     assert got == {k: (n[k], len(records[k])) for k in n}
-    assert Q.heavy_terms(df).where("term = 'hot'").count() == 2
+    assert Q.heavy_terms(df).where("endswith(key, '=hot')").count() == 2
 
 
 def test_marks(spark):
@@ -48,6 +49,16 @@ def test_empty_and_long_terms(spark):
     assert Q.term_frequencies(spark.createDataFrame(rows, OCC).selectExpr("*", "1 as slot")).first()["occurrences"] == 20
 
 
+def test_long_terms_are_heavy_too(spark):
+    """A hot term of any length is counted by slot; two long terms with the same beginning stay two."""
+    rows = [("f", "y" * 10_000 + str(i % 2), i % 7, i, 0) for i in range(40)] + [("f", f"t{i}", 1, 100 + i, 0) for i in range(10)]
+    df = spark.createDataFrame(rows, OCC)
+    assert Q.heavy_terms(df).selectExpr("max(length(key))").first()[0] <= 80
+    assert Q.heavy_terms(df).where("contains(key, '#')").count() == 2
+    got = {(x["term"][-1], x["occurrences"], x["records"]) for x in Q.term_frequencies(df).collect() if len(x["term"]) > 9}
+    assert got == {("0", 20, 7), ("1", 20, 7)}
+
+
 def values(n=3000):
     rng = random.Random(3)
     rows = []
@@ -88,9 +99,8 @@ def test_no_values(spark):
 @pytest.mark.parametrize("held", [H.HELD, 50])
 def test_top_values_of_flat_columns(spark, monkeypatch, held):
     """More distinct values than a sketch has counters: no value, or fewer than k, stand out."""
-    k, most, within = 20, [], H._within
+    k = 20
     monkeypatch.setattr(H, "HELD", held)
-    monkeypatch.setattr(H, "_within", lambda rows, kept: most.extend(len(p) for _, p in kept.values()) or within(rows, kept))
     flat = spark.range(60_000).selectExpr("'flat' field", "id", "concat('v', id) value")
     few = flat.selectExpr("'few' field", "id", "value").unionAll(spark.range(600).selectExpr("'few'", "100000 + id", "concat('heavy', id % 3)"))
     steep = spark.range(60_000).selectExpr("'steep' field", "id", "concat('w', if(id < 30000, id % 30, id)) value")
@@ -101,4 +111,16 @@ def test_top_values_of_flat_columns(spark, monkeypatch, held):
     assert got["flat"] == [(v, 1) for v in names[:k]]
     assert got["few"] == [(f"heavy{i}", 200) for i in range(3)] + [(v, 1) for v in names[: k - 3]]
     assert got["steep"] == [(v, 1000) for v in sorted(f"w{i}" for i in range(30))[:k]]
-    assert most and max(most) <= max(held, 2**H.FIRST_BITS)
+
+
+def test_prefixes_are_lengthened_until_values_remain(spark, monkeypatch):
+    """With short steps it takes many rounds to part the values behind a prefix; each keeps no more prefixes than the bound allows."""
+    monkeypatch.setattr(H, "FIRST_BITS", 2)
+    monkeypatch.setattr(H, "STEP_BITS", 2)
+    rounds, written = [], H.materialise
+    monkeypatch.setattr(H, "materialise", lambda df, name: rounds.append(written(df, name)) or rounds[-1])
+    df = spark.range(20_000).selectExpr("'f' field", "id", "if(id < 12000, concat('hot', id % 12), concat('v', id)) value")
+    got = {x["item"]: x["ids"] for x in H.frequent_values(df, 4).collect()}
+    assert got == {f"hot{i}": 1000 for i in range(12)}
+    last = rounds[-1].where("n >= 800")
+    assert len(rounds) > 2 and last.count() <= 20_000 // 800 and last.where("low < high and n > 1200").count() == 0
