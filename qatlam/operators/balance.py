@@ -1,7 +1,8 @@
 """Problem 3: per-key results when a few keys hold most rows.
 
-Fragment-replicate by estimated load. Loads come from two bounded tables: the row counts of
-``BUCKETS`` hash buckets of the key, and a sketch of the keys that alone exceed a task's share.
+Fragment-replicate by estimated load. Loads come from two tables whose size follows the cluster,
+not the data: the row counts of so many hash buckets of the key for each bin, and a sketch of the
+keys that alone exceed a good part of a bin's share. Long keys go by their digest.
 The driver packs buckets and hot keys into as many bins as there are tasks, largest first; a hot
 key is cut into shards in proportion to its load, and each shard goes to a bin of its own choice.
 A row finds its bin by its key, and within a hot key by its id. The matching side of a join is
@@ -15,10 +16,16 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash buckets of keys whose loads are counted, hot keys named at most, and the sketch's counters.
-BUCKETS, HOT_KEYS, SKETCH_ITEMS = 4096, 256, 4096
-#: A longer key is never named hot, so that the table of hot keys has a bounded size.
-HOT_MAX_CHARS = 1000
+#: Hash buckets of keys whose loads are counted, in all and for each bin; hot keys named for each bin at most (more
+#: can't have half of a bin's share each), and the sketch's counters for each of them.
+LEAST_BUCKETS, BUCKETS_A_BIN, HOT_A_BIN, COUNTERS_A_HOT_KEY = 4096, 16, 2, 8
+#: A longer key goes by its digest, so that the table of hot keys has a bounded size.
+KEY_CHARS = 64
+
+
+def short_key(key: Column) -> Column:
+    """A key in a bounded number of characters, one to one."""
+    return F.when(F.length(key) <= KEY_CHARS, F.concat(F.lit("="), key)).otherwise(F.concat(F.lit("#"), F.sha2(key, 256)))
 
 
 def pack_bins(buckets: dict[int, int], hot: dict[str, int], bins: int) -> tuple[dict[int, int], dict[str, list[int]]]:
@@ -49,13 +56,15 @@ class Balance:
     def __init__(self, df: DataFrame, key: Column, bins: int | None = None):
         spark = df.sparkSession
         self.bins = bins or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        rows = df.select(key.cast("string").alias("key")).where("key is not null")
+        self.count = max(LEAST_BUCKETS, BUCKETS_A_BIN * self.bins)
+        rows = df.select(short_key(key.cast("string")).alias("key")).where("key is not null")
         loads = {x["bucket"]: x["n"] for x in rows.groupBy(self.bucket(F.col("key")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
         total = sum(loads.values())
         hot: dict[str, int] = {}
-        # only a bucket above a bin's share can hold a hot key: if there is none, no sketch is needed
-        if loads and max(loads.values()) * self.bins > total:
-            named = rows.where(F.length("key") <= HOT_MAX_CHARS).agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top")).first()["top"]
+        # only a bucket above half of a bin's share can hold a hot key: if there is none, no sketch is needed
+        if loads and max(loads.values()) * 2 * self.bins > total:
+            most = HOT_A_BIN * self.bins
+            named = rows.agg(F.expr(f"approx_top_k(key, {most}, {min(1_000_000, max(4096, COUNTERS_A_HOT_KEY * most))})").alias("top")).first()["top"]
             hot = {x["item"]: x["count"] for x in named or [] if x["count"] * 2 * self.bins > total}
             if hot:
                 for x in spark.createDataFrame([(k,) for k in hot], "key string").select("key", self.bucket(F.col("key")).alias("bucket")).collect():
@@ -64,14 +73,13 @@ class Balance:
         self.buckets = spark.createDataFrame(sorted(of_bucket.items()), "`__bucket` int, `__bin` int")
         self.shards = spark.createDataFrame(sorted(self.hot.items()), "`__key` string, `__bins` array<int>")
 
-    @staticmethod
-    def bucket(key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    def bucket(self, short: Column) -> Column:
+        return F.pmod(F.xxhash64(short), F.lit(self.count)).cast("int")
 
     def _place(self, df: DataFrame, key: Column) -> DataFrame:
         """``df`` with ``__bins`` (null unless its key is hot) and ``__bin`` of the bucket."""
-        keyed = df.withColumn("__key", key.cast("string")).withColumn("__bucket", self.bucket(F.col("__key")))
-        # BUCKETS and HOT_KEYS bound these two sides
+        keyed = df.withColumn("__key", short_key(key.cast("string"))).withColumn("__bucket", self.bucket(F.col("__key")))
+        # so many rows for each bin bound these two sides
         return keyed.join(F.broadcast(self.buckets), "__bucket", "left").join(F.broadcast(self.shards), "__key", "left")
 
     def fragment(self, df: DataFrame, key: Column, spread: Column) -> DataFrame:
@@ -100,8 +108,8 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread:
     return a.join(b, ["__bin", key], how).drop("__bin")
 
 
-def key_summary(df: DataFrame, key: str, row_id: str, record: str, number: str | None = None, latest: str | None = None, bins: int | None = None) -> DataFrame:
-    """(key, ids, records, mean_<number>, latest_<latest>) for every value of ``key``.
+def key_summary(df: DataFrame, key: str, row_id: str, record: str | None = None, number: str | None = None, latest: str | None = None, bins: int | None = None) -> DataFrame:
+    """(key, ids, records, mean_<number>, latest_<latest>) for every value of ``key``; what isn't named is neither moved nor given.
 
     Repeated ids count once, with their latest ``latest``. Null keys and null ids are left out; a
     null record is none; means are over the non-null numbers of distinct ids (null if there are
@@ -110,18 +118,32 @@ def key_summary(df: DataFrame, key: str, row_id: str, record: str, number: str |
     The rows move once, into balanced bins. There ids are made distinct and counted by record; what
     the shards of a hot key still share, its records, is merged by key and record.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(row_id).isNotNull()).select(
-        F.col(key).alias("k"), F.col(row_id).alias("i"), F.col(record).alias("r"),
-        (F.col(number).cast("decimal(18,6)") if number else F.lit(None).cast("decimal(18,6)")).alias("v"),
-        (F.col(latest) if latest else F.lit(None).cast("timestamp")).alias("t"),
-    )
-    plan = Balance(rows, F.col("k"), bins)
-    placed = plan.fragment(rows, F.col("k"), F.col("i"))
-    once = placed.groupBy("__bin", "k", "i", "r", "v").agg(F.max("t").alias("t"))
-    by_record = once.groupBy("__bin", "k", "r").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.count("v").alias("c"), F.max("t").alias("t"))
-    merged = by_record.groupBy("k", "r").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"), F.max("t").alias("t"))
-    out = merged.groupBy("k").agg(F.sum("n").alias("ids"), F.count("r").alias("records"), F.sum("s").alias("s"), F.sum("c").alias("c"), F.max("t").alias("t"))
-    columns = [F.col("k").alias(key), "ids", "records"]
+    wanted = [F.col(key).alias("k"), F.col(row_id).alias("i")]
+    same, once_over = ["k", "i"], []
+    counts, sums = [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")]
+    if record:
+        wanted.append(F.col(record).alias("r"))
+        same.append("r")
+    if number:
+        wanted.append(F.col(number).cast("decimal(18,6)").alias("v"))
+        same.append("v")
+        counts += [F.sum("v").alias("s"), F.count("v").alias("c")]
+        sums += [F.sum("s").alias("s"), F.sum("c").alias("c")]
+    if latest:
+        wanted.append(F.col(latest).alias("t"))
+        once_over.append(F.max("t").alias("t"))
+        counts.append(F.max("t").alias("t"))
+        sums.append(F.max("t").alias("t"))
+    rows = df.where(F.col(key).isNotNull() & F.col(row_id).isNotNull()).select(*wanted)
+    placed = Balance(rows, F.col("k"), bins).fragment(rows, F.col("k"), F.col("i")).groupBy("__bin", *same)
+    once = placed.agg(*once_over) if once_over else placed.agg(F.lit(1).alias("one")).drop("one")
+    by = ["k", "r"] if record else ["k"]
+    out = once.groupBy("__bin", *by).agg(*counts).groupBy(*by).agg(*sums)
+    if record:
+        out = out.groupBy("k").agg(F.count("r").alias("records"), *sums)
+    columns = [F.col("k").alias(key), F.col("n").alias("ids")]
+    if record:
+        columns.append(F.col("records"))
     if number:
         columns.append(F.round(F.col("s").cast("double") / F.when(F.col("c") > 0, F.col("c")), 6).alias(f"mean_{number}"))
     if latest:

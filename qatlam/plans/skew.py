@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qatlam.operators.balance import fragment_replicate_join, key_summary
+from qatlam.session import materialise
 from qatlam.sources.tables import table
 
 
@@ -18,7 +19,9 @@ def _by_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    both = _by_root(spark, d).select(F.lit("root").alias("field"), F.col("root").alias("item"), "ids").unionAll(_by_type(spark, d).select(F.lit("token_type").alias("field"), F.col("token_type").alias("item"), "ids"))
+    roots, types = key_summary(table(spark, d, "analyses"), "root", "analysis_id"), key_summary(table(spark, d, "tokens"), "token_type", "token_id")
+    both = roots.select(F.lit("root").alias("field"), F.col("root").alias("item"), "ids").unionAll(types.select(F.lit("token_type").alias("field"), F.col("token_type").alias("item"), "ids"))
+    both = materialise(both, "key-counts")  # a row for each value, read twice
     # an id has one value, so the values' ids add up to the ids; the two sums are one row for each field
     totals = both.groupBy("field").agg(F.sum("ids").alias("all_ids"))
     return both.join(F.broadcast(totals), "field").where("ids * 20 >= all_ids").select("field", "item")

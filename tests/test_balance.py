@@ -59,7 +59,7 @@ def test_summary(spark):
 def test_hot_key_is_spread(spark):
     df = spark.createDataFrame(skewed(), COLUMNS)
     plan = B.Balance(df, F.col("k"), bins=6)
-    assert len(plan.hot["hot"]) >= 3
+    assert len(plan.hot["=hot"]) >= 3
     sizes = [x["count"] for x in plan.fragment(df.where("k is not null"), F.col("k"), F.col("i")).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()]
     assert max(sizes) < 2 * sum(sizes) / 6
 
@@ -84,3 +84,24 @@ def test_empty_and_refused(spark):
 def test_one_long_key(spark):
     df = spark.createDataFrame([("y" * 5000, n, n, 1.0, None, "") for n in range(50)], COLUMNS)
     assert B.key_summary(df, "k", "i", "r", "v", "t", bins=4).first()["ids"] == 50
+
+
+@pytest.mark.parametrize("length", [5, 2000])
+def test_hot_key_of_any_length_is_split(spark, length):
+    """Two long keys that differ in their last character only are two keys, and the hot one is in shards."""
+    hot, other = "y" * (length - 1) + "1", "y" * (length - 1) + "2"
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, hot).when(F.col("id") < 2400, other).otherwise(F.concat(F.lit("k"), "id")).alias("k"), F.col("id").alias("i"))
+    plan = B.Balance(df, F.col("k"), bins=8)
+    assert sorted(len(x) for x in plan.hot.values())[-1] >= 5
+    sizes = [x["count"] for x in plan.fragment(df, F.col("k"), F.col("i")).groupBy("__bin").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.5 * 3000 / 8
+    got = {x["k"]: x["ids"] for x in B.key_summary(df, "k", "i", bins=8).collect()}
+    assert (got[hot], got[other], len(got)) == (2000, 400, 602)
+
+
+def test_all_bins_of_a_large_cluster_are_used(spark):
+    df = spark.range(60_000).select(F.concat(F.lit("k"), F.col("id") % 40_000).alias("k"), "id")
+    plan = B.Balance(df, F.col("k"), bins=20_000)
+    assert plan.count >= 16 * 20_000
+    bins = {x["__bin"] for x in plan.buckets.collect()} | {b for shards in plan.hot.values() for b in shards}
+    assert len(bins) == 20_000
