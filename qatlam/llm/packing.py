@@ -2,7 +2,8 @@
 
 A packing depends only on how many texts there are of each size, a histogram of at most
 ``capacity`` numbers. So the driver plans on the histogram, and the texts are only numbered within
-their size and looked up in the plan:
+their size and looked up in the plan. Capacities above ``MOST_CLASSES`` are planned in classes of
+sizes, each a multiple of so many tokens, so that the histogram is bounded for any capacity:
 
 1. Sizes are counted in tokens of a public tokenizer, once, in a map.
 2. A text above the capacity fills whole containers; its rest is an item like any other.
@@ -21,9 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qatlam.operators.lookup import BROADCAST_BYTES
 from qatlam.session import materialise
 from qatlam.sources.tables import spread
 
@@ -31,8 +33,8 @@ from qatlam.sources.tables import spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that cuts text before merging in these vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Containers beyond this are refused: the plan is made on the driver.
-MAX_CAPACITY, MAX_SPECS = 65_536, 64
+#: Classes of sizes that a plan tells apart at most; with larger capacities an item takes up to one part in so many more.
+MOST_CLASSES = 65_536
 
 _encoders: dict[int, object] = {}
 
@@ -224,8 +226,27 @@ def plan_rows(groups: list[tuple[int, int, list[tuple[int, int]]]]) -> list[tupl
 
 
 # ------------------------------------------------------------------ the texts
-#: Parts a size's texts are numbered in, so that a common size doesn't end in one task.
-NUMBERING_PARTS = 128
+#: Texts are numbered within their size and part, so that a common size doesn't end in one task: parts at least, and
+#: texts for each part beyond.
+LEAST_PARTS, TEXTS_A_PART = 128, 100_000
+
+
+def grain(capacity: int) -> int:
+    """Tokens in a class of sizes: 1 up to ``MOST_CLASSES``."""
+    return -(-capacity // MOST_CLASSES)
+
+
+def _row_at(plan: Column, number: Column, longest: int) -> Column:
+    """The last row of a sorted plan that starts at or before ``number``, by bisection."""
+    start = F.struct(F.lit(0).alias("low"), F.size(plan).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        after = F.get(plan, middle)["start"] <= number
+        open_ = acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & after, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~after, middle).otherwise(acc["high"]).alias("high"))
+
+    return F.get(plan, F.aggregate(F.sequence(F.lit(1), F.lit(longest.bit_length() + 1)), start, halve)["low"] - 1)
 
 
 def pack(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -234,52 +255,56 @@ def pack(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER) ->
     ``first_token`` is where the piece begins in its text, ``offset`` where it lies in its
     container. Only a text above the capacity has more than one piece. An empty text takes no room
     and lies in container 0. Null texts and ids are left out; a repeated id is packed once for each
-    row. A capacity that is null or outside 1 to ``MAX_CAPACITY`` is refused.
+    row. A capacity that is null or below 1 is refused.
     """
     spark = documents.sparkSession
-    wanted = [(x["spec_id"], x["capacity_tokens"]) for x in specs.select("spec_id", "capacity_tokens").distinct().limit(MAX_SPECS + 1).collect()]
-    if len(wanted) > MAX_SPECS or any(c is None or not 0 < c <= MAX_CAPACITY for _, c in wanted):
-        raise ValueError(f"at most {MAX_SPECS} specs with capacities from 1 to {MAX_CAPACITY} can be packed")
+    # specs are parameters: a row each
+    wanted = [(x["spec_id"], x["capacity_tokens"]) for x in specs.select("spec_id", "capacity_tokens").distinct().collect()]
+    if any(c is None or c < 1 for _, c in wanted):
+        raise ValueError("a capacity must be at least 1")
     schema = "spec_id int, doc_id long, piece long, n_tokens long, first_token long, container_id long, slot int, offset int"
     if not wanted:
         return spark.createDataFrame([], schema)
     sizes = materialise(token_counts(documents, tokenizer), "token-counts")
-    spec = F.explode(F.array(*(F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("long").alias("cap")) for s, c in wanted))).alias("spec")
+    parts = max(LEAST_PARTS, -(-sizes.count() // TEXTS_A_PART))
+    spec = F.explode(F.array(*(F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("long").alias("cap"), F.lit(grain(c)).cast("long").alias("grain")) for s, c in wanted))).alias("spec")
     each = sizes.select("doc_id", "n_tokens", spec).select("doc_id", "n_tokens", "spec.*")
     whole = F.when(F.col("n_tokens") > F.col("cap"), F.floor(F.col("n_tokens") / F.col("cap"))).otherwise(F.lit(0))
     each = each.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("n_tokens") - F.col("whole") * F.col("cap"))
     # items: (size, how many of it): the whole pieces of a long text, and its rest or the text itself
     items = each.select(
-        "spec_id", "doc_id", "cap",
+        "spec_id", "doc_id", "cap", "grain",
         F.explode(F.array(
             F.struct(F.col("cap").alias("size"), F.col("whole").alias("many"), F.lit(0).cast("long").alias("piece")),
             F.struct(F.col("rest").alias("size"), F.when((F.col("rest") > 0) | (F.col("whole") == 0), 1).otherwise(0).cast("long").alias("many"), F.col("whole").alias("piece")),
         )).alias("x"),
-    ).select("spec_id", "doc_id", "cap", "x.*").where("many > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(NUMBERING_PARTS)).cast("int"))
-    # at most MAX_SPECS x (capacity + 1) x NUMBERING_PARTS rows, whatever the data
-    counts = items.groupBy("spec_id", "size", "part").agg(F.sum("many").alias("n"))
-    hist: dict[int, np.ndarray] = {s: np.zeros(c + 1, dtype=np.int64) for s, c in wanted}
-    for x in counts.groupBy("spec_id", "size").agg(F.sum("n").alias("n")).collect():
-        hist[x["spec_id"]][x["size"]] = x["n"]
-    planned = [(s, *row) for s, c in wanted for row in [(0, 0, 0, 1 << 30, 0, 0), *plan_rows(plan_containers(hist[s], c))]]
-    frame = pd.DataFrame(planned, columns=["spec_id", "size", "start", "container", "copies", "slot", "offset"])
+    ).select("spec_id", "doc_id", "cap", "grain", "x.*").where("many > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    # an item above the last whole class has its container to itself
+    items = items.withColumn("class", F.least(F.ceil(F.col("size") / F.col("grain")), F.floor(F.col("cap") / F.col("grain"))))
+    counts = items.groupBy("spec_id", "class", "part").agg(F.sum("many").alias("n"))
+    hist: dict[int, np.ndarray] = {s: np.zeros(c // grain(c) + 1, dtype=np.int64) for s, c in wanted}
+    for x in counts.groupBy("spec_id", "class").agg(F.sum("n").alias("n")).collect():
+        hist[x["spec_id"]][x["class"]] = x["n"]
+    planned = [(s, *row) for s, c in wanted for row in [(0, 0, 0, 1 << 30, 0, 0), *plan_rows(plan_containers(hist[s], c // grain(c)))]]
+    frame = pd.DataFrame(planned, columns=["spec_id", "class", "start", "container", "copies", "slot", "offset"])
+    longest = int(frame.groupby(["spec_id", "class"]).size().max())
     plan = (
-        spark.createDataFrame(frame, "spec_id int, size long, start long, container long, copies long, slot int, offset int")
-        .groupBy("spec_id", "size").agg(F.sort_array(F.collect_list(F.struct("start", "container", "copies", "slot", "offset"))).alias("plan"))
+        spark.createDataFrame(frame, "spec_id int, class long, start long, container long, copies long, slot int, offset int")
+        .groupBy("spec_id", "class").agg(F.sort_array(F.collect_list(F.struct("start", "container", "copies", "slot", "offset"))).alias("plan"))
     )
-    before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("spec_id", "size").orderBy("part")) - F.col("n")).drop("n")
-    running = Window.partitionBy("spec_id", "size", "part").orderBy("doc_id", "piece").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = items.withColumn("upto", F.sum("many").over(running)).join(before, ["spec_id", "size", "part"]).withColumn("first", F.col("base") + F.col("upto") - F.col("many"))
-    # bounded by the capacities: a row for each size of each spec
-    placed = numbered.join(F.broadcast(plan), ["spec_id", "size"]).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))).withColumn("number", F.col("first") + F.col("k"))
-    row = F.get(F.col("plan"), F.size(F.filter(F.col("plan"), lambda p: p["start"] <= F.col("number"))) - 1)
-    at = placed.withColumn("p", row).withColumn("nth", F.col("number") - F.col("p.start"))
+    before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("spec_id", "class").orderBy("part")) - F.col("n")).drop("n")
+    running = Window.partitionBy("spec_id", "class", "part").orderBy("doc_id", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = items.withColumn("upto", F.sum("many").over(running)).join(before, ["spec_id", "class", "part"]).withColumn("first", F.col("base") + F.col("upto") - F.col("many"))
+    # a plan row takes some 40 bytes
+    side = F.broadcast(plan) if 40 * len(frame) <= BROADCAST_BYTES else plan
+    placed = numbered.join(side, ["spec_id", "class"]).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))).withColumn("number", F.col("first") + F.col("k"))
+    at = placed.withColumn("p", _row_at(F.col("plan"), F.col("number"), longest)).withColumn("nth", F.col("number") - F.col("p.start"))
     return at.select(
         "spec_id", "doc_id", (F.col("piece") + F.col("k")).alias("piece"), F.col("size").alias("n_tokens"),
         ((F.col("piece") + F.col("k")) * F.col("cap")).alias("first_token"),
         F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.col("p.container") + F.floor(F.col("nth") / F.col("p.copies"))).cast("long").alias("container_id"),
         F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("p.slot") + F.col("nth") % F.col("p.copies")).cast("int").alias("slot"),
-        (F.col("p.offset") + F.when(F.col("size") == 0, 0).otherwise((F.col("nth") % F.col("p.copies")) * F.col("size"))).cast("int").alias("offset"),
+        ((F.col("p.offset") + F.when(F.col("size") == 0, 0).otherwise((F.col("nth") % F.col("p.copies")) * F.col("class"))) * F.col("grain")).cast("int").alias("offset"),
     )
 
 

@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from qatlam.llm import packing as P
 
 
@@ -77,9 +79,33 @@ def test_packed(spark, documents):
 
 
 def test_refusals_and_empty(spark, documents):
-    for bad in (None, 0, P.MAX_CAPACITY + 1):
+    for bad in (None, 0, -3):
         with pytest.raises(ValueError):
             P.pack(documents, spark.createDataFrame([(1, bad)], "spec_id int, capacity_tokens int"))
     specs = spark.createDataFrame([(1, 64)], "spec_id int, capacity_tokens int")
     assert P.pack(documents.limit(0), specs).count() == 0
     assert P.pack(documents, specs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("capacity", "classes"), [(131_072, 65_536), (500, 100), (503, 100), (7, 3), (2_000_000_000, 65_536)])
+def test_large_capacities_are_planned_in_classes(spark, documents, monkeypatch, capacity, classes):
+    monkeypatch.setattr(P, "MOST_CLASSES", classes)
+    monkeypatch.setattr(P, "TEXTS_A_PART", 1)
+    monkeypatch.setattr(P, "LEAST_PARTS", 3)
+    rows = P.pack(documents, spark.createDataFrame([(1, capacity)], "spec_id int, capacity_tokens int")).collect()
+    room, pieces = defaultdict(list), defaultdict(int)
+    for r in rows:
+        pieces[r["doc_id"]] += r["n_tokens"]
+        if r["n_tokens"]:
+            room[r["container_id"]].append((r["offset"], r["n_tokens"], r["slot"]))
+    assert pieces == {r["doc_id"]: r["n_tokens"] for r in P.token_counts(documents).collect()}
+    for of in room.values():
+        of.sort()
+        assert [s for _, _, s in of] == list(range(len(of)))
+        assert all(a + n <= b for (a, n, _), (b, _, _) in zip(of, of[1:], strict=False)) and of[-1][0] + of[-1][1] <= capacity
+
+
+def test_bisection(spark):
+    plan = F.from_json(F.lit("[" + ",".join(f'{{"start":{3 * k}}}' for k in range(11)) + "]"), "array<struct<start:long>>")
+    got = [r[0] for r in spark.range(40).select(P._row_at(plan, F.col("id"), 11)["start"]).collect()]
+    assert got == [min(30, n // 3 * 3) for n in range(40)]
