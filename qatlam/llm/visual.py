@@ -2,9 +2,10 @@
 
 Two forms are derived from a value, each vectorised over a batch's distinct values:
 
-* its *ordinary spelling*: composed letters, ordinary width, one alphabet in a word, the two
-  official apostrophes, no invisible characters, plain blanks. A value that differs from its
-  ordinary spelling is a case.
+* its *ordinary spelling*: composed letters, compatibility normalisation (NFKC) of characters that
+  stand for letters or differ in width, one alphabet in a word, the two official apostrophes, no
+  invisible characters, plain blanks. A value that differs from its ordinary spelling is a case.
+  Lone signs, which NFKC would change too, are ordinary, and so are capitals.
 * its *comparison form*: the ordinary spelling in compatibility-normalised composed form (NFKC),
   fully case-folded, with runs of blanks collapsed. Equal for everything that looks the same.
 
@@ -57,7 +58,21 @@ def _ranges(pairs: tuple[tuple[int, int], ...]) -> str:
 
 _IGNORABLE = re.compile(f"[{_ranges(IGNORABLE)}]+")
 _BLANK = re.compile(f"[{re.escape(BLANKS)}]")
-_WIDTH = re.compile("[！-｠｡-ￜ￠-￮]")
+
+
+def _stands_for_letters(c: str) -> bool:
+    """Whether a letter or digit is another one, or several, in a form of their own: bold, cursive, joined, contextual.
+
+    Letters that merely decompose, as the Armenian and Thai ones do, are their own, and so are lone signs.
+    """
+    tag, _, _ = unicodedata.decomposition(c).partition(" ")
+    if tag in ("<font>", "<initial>", "<medial>", "<final>", "<isolated>"):
+        return unicodedata.category(c)[0] in "LN"
+    return tag == "<compat>" and c.isalpha() and unicodedata.name(c, "").startswith("LATIN")
+
+
+_FORMS = [c for c in map(chr, range(0x110000)) if unicodedata.decomposition(c)[:1] == "<" and _stands_for_letters(c)]
+_WIDTH = re.compile("[！-｠｡-ￜ￠-￮" + "".join(_FORMS) + "]")
 _JOINED = re.compile("(?<=[←-⯿〰〽㊗㊙️\U0001f000-\U0001faff])(?:‍(?=[←-⯿\U0001f000-\U0001faff])|[︎️])|(?<=[#*0-9])️(?=⃣)")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*(?:[" + re.escape(APOSTROPHES) + r"](?:[^\W\d_]|[̀-ͯ])+)*")
 _APOSTROPHE = re.compile(f"(?<=[^\\W\\d_])(?<![{APOSTROPHES[:2]}])[{re.escape(APOSTROPHES)}](?=[^\\W\\d_])|(?<=[oOgG])[{re.escape(APOSTROPHES)}](?![^\\W\\d_])|(?<=[^\\W\\d_])(?<![{APOSTROPHES[:2]}])[{APOSTROPHES[:2]}]")

@@ -24,6 +24,16 @@ def test_ordinary(text):
     assert not V.is_case(text) and V.ordinary_spelling(text) == text
 
 
+@pytest.mark.parametrize(("text", "plain"), [("ﬁne", "fine"), ("𝐤itob", "kitob"), ("𝓶𝓪𝓴𝓽𝓪𝓫", "maktab"), ("ǆep", "džep"), ("ﻛﺘﺎﺏ", "كتاب"), ("𝟏𝟐", "12")])
+def test_compatibility_letters(text, plain):
+    assert V.is_case(text) and V.ordinary_spelling(text) == plain
+
+
+@pytest.mark.parametrize("text", ["և", "น้ำ", "™", "m²", "½", "①", "…", "ㅋㅋ", "ª", "℃"])
+def test_letters_and_signs_of_their_own(text):
+    assert not V.is_case(text)
+
+
 def test_mixed_without_look_alikes_is_a_case():
     assert V.is_case("kitжob")
 
