@@ -31,7 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qatlam.operators.lookup import BROADCAST_BYTES
 from qatlam.session import materialise
+from qatlam.sources.tables import small_enough, spread_by
 
 # ------------------------------------------------------------------ classes
 _SINGLE = 0x530  # code points below have a class each, folded to small letters
@@ -539,11 +541,21 @@ def decide_swaps(judged: DataFrame, texts: DataFrame) -> DataFrame:
     return found.where(swap | open_).groupBy("text").agg(F.min_by("word", "nth").alias("restored"))
 
 
+def suspects(records: DataFrame, pattern: str) -> DataFrame:
+    """The distinct texts that match ``pattern``, over all tasks: what is judged value by value is judged once."""
+    return spread_by(records.where(F.col("text").rlike(pattern)).select("text").distinct(), "text")
+
+
+def rows_of(records: DataFrame, pattern: str, judged: DataFrame) -> DataFrame:
+    """The records whose text is in a written table of judged texts, with its columns, once per id."""
+    side = F.broadcast(judged) if small_enough(judged, BROADCAST_BYTES) else judged
+    return records.where(F.col("text").rlike(pattern)).join(side, "text").dropDuplicates(["tbl", "row_id"])
+
+
 def find_garbled(records: DataFrame) -> DataFrame:
     """(tbl, row_id, text, restored) of every garbled record, once per id. Rows without an id are left out."""
     records = records.where("row_id is not null").select("tbl", "row_id", "text")
     texts = records.select("text")
-    judged = materialise(detect(records, pair_scores(texts)).dropDuplicates(["tbl", "row_id"]), "judged-values")
-    sure = judged.where("kind = 'sure'").select("tbl", "row_id", "text", "restored")
-    swapped = judged.where("kind != 'sure'").select("tbl", "row_id", "text").join(decide_swaps(judged, texts), "text")
-    return sure.unionByName(swapped.select("tbl", "row_id", "text", "restored"))
+    judged = materialise(detect(suspects(records, SUSPECT), pair_scores(texts)), "judged-values")
+    garbled = judged.where("kind = 'sure'").select("text", "restored").unionByName(decide_swaps(judged, texts).select("text", "restored"))
+    return rows_of(records, SUSPECT, materialise(garbled, "garbled-values")).select("tbl", "row_id", "text", "restored")

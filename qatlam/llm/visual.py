@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qatlam.llm.encoding import SURE, SWAP, Detector, pair_scores
+from qatlam.llm.encoding import SURE, SWAP, Detector, pair_scores, rows_of, suspects
+from qatlam.session import materialise
 
 # ------------------------------------------------------------------ fixed values
 #: Characters used for an apostrophe. The first two are the official ones.
@@ -181,18 +182,16 @@ def find_unusual(records: DataFrame) -> DataFrame:
 
     Text that was decoded with a wrong encoding is no matter of spelling and is left out.
     """
-    records = records.where("row_id is not null")
+    records = records.where("row_id is not null").select("tbl", "row_id", "text")
     texts = records.select("text")
     held = records.sparkSession.sparkContext.broadcast(pair_scores(texts))
-    rows = records.where(F.col("text").rlike(SUSPECT)).select("tbl", "row_id", "text")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector = Detector(held.value)
         for batch in batches:
-            codes, values = pd.factorize(batch["text"])
-            flags = np.fromiter((is_case(v) and detector.judge(v).kind not in (SURE, SWAP) for v in values), dtype=bool, count=len(values))
-            ordinary = np.array([ordinary_spelling(v) if f else None for v, f in zip(values, flags, strict=True)] or [None], dtype=object)
-            keep = flags[codes] if len(values) else np.zeros(0, dtype=bool)
-            yield batch[keep].assign(ordinary=ordinary[codes[keep]])
+            flags = np.fromiter((is_case(v) and detector.judge(v).kind not in (SURE, SWAP) for v in batch["text"]), dtype=bool, count=len(batch))
+            found = batch[flags]
+            yield found.assign(ordinary=pd.Series([ordinary_spelling(v) for v in found["text"]], index=found.index, dtype=object))
 
-    return rows.mapInPandas(judge, "tbl string, row_id long, text string, ordinary string").dropDuplicates(["tbl", "row_id"])
+    judged = materialise(suspects(records, SUSPECT).mapInPandas(judge, "text string, ordinary string"), "unusual-values")
+    return rows_of(records, SUSPECT, judged).select("tbl", "row_id", "text", "ordinary")
