@@ -176,3 +176,15 @@ def token_type(token: ColumnOrName) -> Column:
 def pre_tokens(text: ColumnOrName, with_space: bool = False) -> Column:
     """The pre-tokens of a text, apostrophes normalised. Underscores are dropped."""
     return F.regexp_extract_all(normalize_apostrophes(text), F.lit(PRE_TOKEN_OR_SPACE if with_space else PRE_TOKEN), F.lit(0))
+
+
+# What plain byte-pair training cuts text into: runs of letters, marks and digits, single punctuation
+# characters, and runs of other signs.
+_ALNUM = r"\p{IsAlphabetic}\p{M}\p{Nd}\x{200c}\x{200d}"
+_PUNCT = r"!-/:-@\[-`{-~\p{P}"
+WORD_OR_MARK = f"[{_ALNUM}]+|[{_PUNCT}]|[^{_ALNUM}{_PUNCT}{_S}]+"
+
+
+def words_and_marks(text: ColumnOrName) -> Column:
+    """The words of a text and its punctuation marks one by one; nothing is normalised."""
+    return F.regexp_extract_all(_col(text), F.lit(WORD_OR_MARK), F.lit(0))

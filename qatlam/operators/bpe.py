@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from qatlam.functions import text as T
 from qatlam.session import materialise
-from qatlam.sources.tables import spread, spread_by
+from qatlam.sources.tables import spread
 
 # The special tokens and their ids.
 SPECIALS = {"<pad>": 0, "<unk>": 1, "<bos>": 2, "<eos>": 3}
@@ -92,10 +92,11 @@ class Model:
 
 
 # ------------------------------------------------------------------ counts
-def word_counts(texts: DataFrame, text: str = "text", lowercase: bool = False) -> DataFrame:
-    """(word, n) over the pre-tokens of all texts; null and empty texts count nothing."""
+def word_counts(texts: DataFrame, text: str = "text", lowercase: bool = False, plain: bool = False) -> DataFrame:
+    """(word, n) over the pre-tokens of all texts, or over words and single marks; null and empty texts count nothing."""
     t = F.lower(text) if lowercase else F.col(text)
-    return spread(texts.where(F.length(text) > 0).select(text)).select(F.explode(T.pre_tokens(t)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    cut = T.words_and_marks(t) if plain else T.pre_tokens(t)
+    return spread(texts.where(F.length(text) > 0).select(text)).select(F.explode(cut).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def base_characters(counts: DataFrame) -> DataFrame:
@@ -151,61 +152,87 @@ def _merge(pieces: list[str], a: str, b: str) -> list[str]:
 
 
 class _Greedy:
-    """Incremental pair counts over counted words, the most frequent pair at the top of a heap."""
+    """The pieces of all counted words as linked places, so that a merge changes its places' neighbours only.
+
+    A pair's places are looked up lazily: a place that holds another pair by now is passed over. The
+    most frequent pair is at the top of a heap, where outdated counts are passed over likewise.
+    """
 
     def __init__(self, counts: Iterable[tuple[str, int]]):
-        self.words: list[list[str]] = []
-        self.weights: list[int] = []
+        self.piece: list[str | None] = []
+        self.weight: list[int] = []
+        self.before: list[int] = []
+        self.after: list[int] = []
         self.pairs: Counter[tuple[str, str]] = Counter()
-        self.where: dict[tuple[str, str], set[int]] = defaultdict(set)
+        self.places: dict[tuple[str, str], list[int]] = defaultdict(list)
         for word, n in counts:
-            k = len(self.words)
-            self.words.append(list(word))
-            self.weights.append(n)
-            for pair in zip(word, word[1:], strict=False):
+            first, last = len(self.piece), len(self.piece) + len(word) - 1
+            for at, ch in enumerate(word, first):
+                self.piece.append(ch)
+                self.weight.append(n)
+                self.before.append(at - 1 if at > first else -1)
+                self.after.append(at + 1 if at < last else -1)
+            for at, pair in enumerate(zip(word, word[1:], strict=False), first):
                 self.pairs[pair] += n
-                self.where[pair].add(k)
+                self.places[pair].append(at)
         self.heap = [(-n, *pair) for pair, n in self.pairs.items()]
         heapq.heapify(self.heap)
 
     def best(self) -> tuple[tuple[str, str], int] | None:
         while self.heap:
             n, a, b = self.heap[0]
-            if self.pairs.get((a, b), 0) == -n and n:
+            if n and self.pairs[a, b] == -n:
                 return (a, b), -n
-            heapq.heappop(self.heap)  # an outdated count
+            heapq.heappop(self.heap)
         return None
 
     def join(self, pair: tuple[str, str]) -> None:
+        left, right = pair
+        joined = left + right
         touched: set[tuple[str, str]] = set()
-        for k in sorted(self.where.pop(pair, ())):
-            old, weight = self.words[k], self.weights[k]
-            new = _merge(old, *pair)
-            before, after = Counter(zip(old, old[1:], strict=False)), Counter(zip(new, new[1:], strict=False))
-            for p in before.keys() | after.keys():
-                if change := after[p] - before[p]:
-                    self.pairs[p] += change * weight
-                    touched.add(p)
-                if p in after:
-                    self.where[p].add(k)
-                elif p in self.where:
-                    self.where[p].discard(k)
-            self.words[k] = new
+
+        def count(p: tuple[str, str], n: int) -> None:
+            self.pairs[p] += n
+            touched.add(p)
+
+        for at in sorted(self.places.pop(pair)):
+            other = self.after[at]
+            if self.piece[at] != left or other < 0 or self.piece[other] != right:
+                continue
+            n, prev, following = self.weight[at], self.before[at], self.after[other]
+            count(pair, -n)
+            if prev >= 0:
+                count((self.piece[prev], left), -n)
+                count((self.piece[prev], joined), n)
+                self.places[self.piece[prev], joined].append(prev)
+            if following >= 0:
+                count((right, self.piece[following]), -n)
+                count((joined, self.piece[following]), n)
+                self.places[joined, self.piece[following]].append(at)
+                self.before[following] = at
+            self.piece[at], self.piece[other] = joined, None
+            self.after[at] = following
         for p in touched:
             if self.pairs[p] > 0:
                 heapq.heappush(self.heap, (-self.pairs[p], *p))
             else:
                 del self.pairs[p]
+                self.places.pop(p, None)
+
 
+def train(texts: DataFrame, vocab_size: int = 8000, min_frequency: int = 2, text: str = "text", lowercase: bool = False, specials: list[str] | None = None, plain: bool = False, driver_words: int = DRIVER_WORDS) -> Model:
+    """The model of a corpus. A corpus without words gives a model of the special tokens alone, one without a row is refused.
 
-def train(texts: DataFrame, vocab_size: int = 8000, min_frequency: int = 2, text: str = "text", lowercase: bool = False, specials: list[str] | None = None, driver_words: int = DRIVER_WORDS) -> Model:
-    """The model of a corpus. An empty corpus gives a model of the special tokens alone."""
+    With ``plain``, words and single marks are what pieces stay within, in place of pre-tokens.
+    """
     if min_frequency < 1:
         raise ValueError(f"min_frequency must be positive, not {min_frequency}")
     names = {s: i for i, s in enumerate(specials)} if specials else dict(SPECIALS)
     model = Model(vocab_size, [], dict(names), dict(names))
-    counts = materialise(word_counts(texts, text, lowercase), "word-counts")
+    counts = materialise(word_counts(texts, text, lowercase, plain), "word-counts")
     if counts.isEmpty():
+        if texts.isEmpty():
+            raise ValueError("the training corpus is empty")
         return model
     for row in base_characters(counts).collect():  # at most the characters of Unicode
         if len(model) < vocab_size:
@@ -259,42 +286,62 @@ def segment_column(df: DataFrame, column: str, model: Model, out: str = "pieces"
     return df.withColumn(out, cut(column))
 
 
+#: Words whose pieces or ids a worker keeps at hand.
+KEPT_WORDS = 500_000
+
+
+def _remembered(make: Callable[[str], object]) -> Callable[[str], object]:
+    """``make`` with its results kept: few words are most of a text."""
+    kept: dict[str, object] = {}
+
+    def get(word: str) -> object:
+        found = kept.get(word)
+        if found is None:
+            if len(kept) >= KEPT_WORDS:
+                kept.clear()
+            found = kept[word] = make(word)
+        return found
+
+    return get
+
+
 def tokenize(texts: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", with_space: bool = False) -> DataFrame:
-    """(doc_id, pos, word, pieces) of every pre-token, each distinct word cut once."""
-    docs = spread(texts.where(F.col(text).isNotNull()).select(doc_id, text))
-    words = docs.select(doc_id, F.posexplode(T.pre_tokens(text, with_space)).alias("pos", "word"))
-    distinct = segment_column(spread_by(words.select("word").distinct(), "word"), "word", model)
-    return words.join(distinct, "word").select(doc_id, "pos", "word", "pieces")
+    """(doc_id, pos, word, pieces) of every pre-token. One map: nothing is shuffled, a word is cut once by each worker."""
+    held = texts.sparkSession.sparkContext.broadcast(model.ranks)  # its size is bounded by ``vocab_size``
 
+    @F.pandas_udf("array<array<string>>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ranks = held.value
+        pieces = _remembered(lambda w: segment(w, ranks))
+        for words in batches:
+            yield words.map(lambda ws: [pieces(w) for w in ws])
 
-def piece_ids(pieces: Column, word: Column, vocab: Column) -> Column:
-    """The ids of a pre-token's pieces; blanks go character by character; unknown pieces are 1."""
-    parts = F.when(F.trim(word) == "", T.characters(word)).when(word.rlike(f"^[{T._S}]"), T.characters(word)).otherwise(pieces)
-    return F.transform(parts, lambda p: F.coalesce(F.try_element_at(vocab, p), F.lit(UNK)))
+    docs = spread(texts.where(F.col(text).isNotNull()).select(doc_id, text)).select(doc_id, T.pre_tokens(text, with_space).alias("word"))
+    zipped = docs.select(doc_id, F.posexplode(F.arrays_zip("word", cut("word").alias("pieces"))).alias("pos", "x"))
+    return zipped.select(doc_id, "pos", F.col("x").getField("word").alias("word"), F.col("x").getField("pieces").alias("pieces"))
 
 
 def encode(texts: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", add_bos: bool = False, add_eos: bool = False) -> DataFrame:
-    """(doc_id, ids) of every text; an empty or null text has only what is added around it.
+    """(doc_id, ids) of every text; an empty or null text has only what is added around it; unknown pieces are 1.
 
-    Ids are made once for each distinct pre-token, in the Arrow batch that cuts it.
+    Blanks go character by character. One map, like :func:`tokenize`.
     """
     held = texts.sparkSession.sparkContext.broadcast((model.ranks, model.vocab))
 
     @F.pandas_udf("array<int>")
-    def ids_of(s: pd.Series) -> pd.Series:
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ranks, vocab = held.value
-        return s.map(lambda w: [vocab.get(p, UNK) for p in (w if w.isspace() else segment(w, ranks))])
+        ids = _remembered(lambda w: [vocab.get(p, UNK) for p in (w if w.isspace() else segment(w, ranks))])
+        for words in batches:
+            yield words.map(lambda ws: [i for w in ws for i in ids(w)])
 
     docs = spread(texts.select(doc_id, F.col(text).alias("__t")))
-    words = docs.where("__t is not null").select(doc_id, F.posexplode(T.pre_tokens("__t", True)).alias("pos", "word"))
-    distinct = spread_by(words.select("word").distinct(), "word").withColumn("ids", ids_of("word"))
-    joined = words.join(distinct, "word").groupBy(doc_id).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    around = F.coalesce("ids", F.array().cast("array<int>"))
+    around = ids_of(F.coalesce(T.pre_tokens("__t", True), F.array().cast("array<string>")))
     if add_bos:
         around = F.concat(F.array(F.lit(BOS)), around)
     if add_eos:
         around = F.concat(around, F.array(F.lit(EOS)))
-    return docs.select(doc_id).join(joined, doc_id, "left").select(doc_id, around.alias("ids"))
+    return docs.select(doc_id, around.alias("ids"))
 
 
 def pad_batch(encoded: DataFrame, batch: str | None = None, max_length: int | None = None, pad: int = PAD, ids: str = "ids") -> DataFrame:
@@ -310,13 +357,22 @@ def pad_batch(encoded: DataFrame, batch: str | None = None, max_length: int | No
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, doc_id: str = "doc_id", ids: str = "ids", skip_special: bool = True) -> DataFrame:
-    """(doc_id, text): the tokens of the ids (token, id) put together; unknown ids read as <unk>. One row a document."""
-    each = encoded.select(doc_id, F.posexplode(ids).alias("pos", "id"))
+    """(doc_id, text): the tokens of the ids (token, id) put together; unknown ids read as <unk>. One row a row, in one map.
+
+    Null ids read as an empty text. A vocabulary is as large as its parameter says, so it is broadcast.
+    """
+    names = {r["id"]: r["token"] for r in vocab.select("token", "id").collect()}
     if skip_special:
-        each = each.where(~F.col("id").isin(PAD, UNK, BOS, EOS))
-    named = each.join(F.broadcast(vocab.select("token", "id")), "id", "left").withColumn("token", F.coalesce("token", F.lit("<unk>")))
-    joined = named.groupBy(doc_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "").alias("text"))
-    return encoded.select(doc_id).join(joined, doc_id, "left").select(doc_id, F.coalesce("text", F.lit("")).alias("text"))
+        names |= dict.fromkeys(SPECIALS.values(), "")
+    held = encoded.sparkSession.sparkContext.broadcast(names)
+
+    @F.pandas_udf("string")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = held.value
+        for series in batches:
+            yield series.map(lambda xs: "".join([names.get(i, "<unk>") for i in xs]))
+
+    return encoded.select(doc_id, read(F.coalesce(ids, F.array().cast("array<int>"))).alias("text"))
 
 
 def numbered_characters(counts: DataFrame) -> DataFrame:

@@ -68,33 +68,37 @@ def bpe_train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bpe_train_plain(spark: SparkSession, d: str) -> DataFrame:
-    """A model of lower-cased text with the special tokens of another family."""
-    model = B.train(table(spark, d, "documents"), VOCAB_SIZE, lowercase=True, specials=["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"])
+    """A model of lower-cased words and marks with the special tokens of another family."""
+    model = B.train(table(spark, d, "documents"), VOCAB_SIZE, lowercase=True, plain=True, specials=["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"])
     return model.vocab_table(spark)
 
 
+def plain_word_freq(spark: SparkSession, d: str) -> DataFrame:
+    """The counts a trainer of lower-cased words and marks starts from."""
+    return B.word_counts(table(spark, d, "documents"), lowercase=True, plain=True)
+
+
 def bpe_tokenize(spark: SparkSession, d: str) -> DataFrame:
+    """Every pre-token of the documents with its pieces."""
     found = B.tokenize(table(spark, d, "documents"), _model(spark, d))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum(F.size("pieces")).alias("pieces"))
+    return found.select("doc_id", "pos", "word", F.array_join("pieces", " ").alias("pieces"))
 
 
 def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of every document, with its beginning and end."""
     ids = B.encode(table(spark, d, "documents"), _model(spark, d), add_bos=True, add_eos=True)
-    return ids.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")).alias("ids_md5"))
+    return ids.select("doc_id", F.size("ids").alias("n"), F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
 
 
 def bpe_decode(spark: SparkSession, d: str) -> DataFrame:
-    """How many documents read back as they were, but for unknown characters and underscores."""
+    """Every document as it reads back from its ids: without underscores, which no pre-token has, and blanks other than the space, which the model doesn't know."""
     model = _model(spark, d)
-    docs = table(spark, d, "documents")
-    back = B.decode(B.encode(docs, model), model.vocab_table(spark))
-    same = docs.select("doc_id", F.coalesce(T.normalize_apostrophes("text"), F.lit("")).alias("t")).join(back, "doc_id")
-    return same.select("doc_id", F.length("t").alias("chars"), F.length("text").alias("kept"))
+    return B.decode(B.encode(table(spark, d, "documents"), model), model.vocab_table(spark))
 
 
 QUERIES = {
     q.__name__: q
-    for q in (word_freq, word_freq_topk, word_freq_lower, pre_token_counts, base_chars, char_ids, pair_counts, best_pair, merged_pair_counts, bpe_train, bpe_train_plain, bpe_tokenize, bpe_encode, bpe_decode)
+    for q in (word_freq, word_freq_topk, word_freq_lower, plain_word_freq, pre_token_counts, base_chars, char_ids, pair_counts, best_pair, merged_pair_counts, bpe_train, bpe_train_plain, bpe_tokenize, bpe_encode, bpe_decode)
 }
 
 _C = f"counts AS (SELECT word, count(*) AS n FROM (SELECT unnest({S.pre_tokens('text')}) AS word FROM documents WHERE text <> '') GROUP BY word)"
@@ -104,10 +108,17 @@ _PAIRS = """pairs AS (SELECT p[i] AS "left", p[i + 1] AS "right", n FROM (SELECT
 _SPLIT = f"{_C}, split AS (SELECT string_split(word, '') AS p, n FROM counts)"
 _SPECIALS = ", ".join(f"(0, {i}, {S.quoted(t)})" for t, i in B.SPECIALS.items())
 
+# the classes of the plain tokens as SQL's expressions have them: letters and the letter-like, which Alphabetic is
+_ALNUM = r"\p{L}\p{M}\p{Nl}\p{Nd}\x{24b6}-\x{24e9}\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}\x{1f170}-\x{1f189}\x{200c}\x{200d}"
+_PUNCT = r"!-/:-@\[-`{-~\p{P}"
+PLAIN = f"[{_ALNUM}]+|[{_PUNCT}]|[^{_ALNUM}{_PUNCT}{S.C.SPACE}]+"
+
 SQL = {
     "word_freq": f"WITH {_C} SELECT word, n FROM counts",
     "word_freq_topk": f"WITH {_C} SELECT word, n FROM counts ORDER BY n DESC, word LIMIT 100",
     "word_freq_lower": f"SELECT word, count(*) AS n FROM (SELECT unnest({S.pre_tokens('lower(text)')}) AS word FROM documents WHERE text <> '') GROUP BY word",
+    "plain_word_freq": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), {S.quoted(PLAIN)})) AS word FROM documents WHERE text <> '') GROUP BY word",
+    "bpe_decode": f"SELECT doc_id, coalesce(regexp_replace({S.apostrophes('text')}, '_|[\\x09-\\x0d\\x1c-\\x1f{S.C.SPACE.replace(chr(92) + 'x09-' + chr(92) + 'x0d' + chr(92) + 'x1c-' + chr(92) + 'x20', '')}]', '', 'g'), '') AS text FROM documents",
     "pre_token_counts": f"""SELECT doc_id, len(p)::INTEGER AS n, len(list_filter(p, lambda x: regexp_matches(x, '^[{S.C.SPACE}]')))::INTEGER AS blanks
         FROM (SELECT doc_id, {S.pre_tokens('text', True)} AS p FROM documents WHERE text IS NOT NULL)""",
     "base_chars": f"WITH {_C}, {_CHARS} SELECT ch FROM chars",

@@ -22,7 +22,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     texts = spark.read.text(args.corpus).select(F.col("value").alias("text"))
-    train(texts, args.vocab_size, lowercase=not args.keep_case, specials=SPECIALS).save(args.output)
+    train(texts, args.vocab_size, lowercase=not args.keep_case, plain=True, specials=SPECIALS).save(args.output)
 
 
 if __name__ == "__main__":

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -102,6 +103,8 @@ def test_refusals(spark):
     with pytest.raises(ValueError):
         B.train(docs(spark, "a"), 100, 0)
     assert B.train(docs(spark, None, ""), 100).vocab == B.SPECIALS
+    with pytest.raises(ValueError):
+        B.train(docs(spark, "a").limit(0), 100)
 
 
 def test_command(spark, tmp_path):
@@ -117,3 +120,41 @@ def test_registered_model_has_the_default_size(spark, data):
     assert len(full.merges) > 1200
     assert [(r["left"], r["right"]) for r in P.bpe_train(spark, data).orderBy("rank").collect()] == full.merges
     assert P.bpe_train_plain(spark, data).count() > 1200
+
+
+def test_linked_merges_against_plain_ones():
+    rng = random.Random(11)
+    for _ in range(200):
+        words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))): rng.randrange(1, 5) for _ in range(6)}
+        greedy, pieces = B._Greedy(words.items()), {w: list(w) for w in words}
+        while top := greedy.best():
+            counts = Counter()
+            for w, n in words.items():
+                for p in zip(pieces[w], pieces[w][1:], strict=False):
+                    counts[p] += n
+            assert top == (want := min(counts.items(), key=lambda x: (-x[1], x[0]))) or (top[1], top[0]) == (want[1], want[0])
+            greedy.join(top[0])
+            pieces = {w: B._merge(p, *top[0]) for w, p in pieces.items()}
+        assert all(len(p) == 1 for p in pieces.values())
+
+
+def test_words_and_marks(spark):
+    """As the pre-tokenizers Whitespace and Punctuation, one after the other, have it."""
+    from tokenizers.pre_tokenizers import Punctuation, Sequence, Whitespace
+
+    cut = Sequence([Whitespace(), Punctuation()])
+    texts = [*CORPUS, "a_b--c €$+5 x", "oʻzbek maʼno", "ёлка №5 — «да»…", "नमस्ते 你好。", "é̈ x‿y", "", "  "]
+    got = {r["doc_id"]: r["w"] for r in docs(spark, *texts).select("doc_id", B.T.words_and_marks("text").alias("w")).collect()}
+    assert got == {i: [w for w, _ in cut.pre_tokenize_str(t)] for i, t in enumerate(texts)}
+
+
+def test_nothing_is_shuffled(spark, model):
+    for df in (B.tokenize(docs(spark, *CORPUS), model), B.encode(docs(spark, *CORPUS), model), B.decode(B.encode(docs(spark, *CORPUS), model), model.vocab_table(spark))):
+        assert "Join" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan
+
+
+def test_words_beyond_those_kept(spark, model, monkeypatch):
+    calls = []
+    monkeypatch.setattr(B, "KEPT_WORDS", 2)
+    get = B._remembered(lambda w: calls.append(w) or w.upper())
+    assert [get(w) for w in "a b a c a b".split()] == list("ABACAB") and calls == ["a", "b", "c", "a", "b"]
