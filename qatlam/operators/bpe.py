@@ -13,14 +13,13 @@ import json
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qatlam.functions import text as T
-from qatlam.session import materialise
+from qatlam.session import file_exists, materialise, read_text, write_text
 from qatlam.sources.tables import spread
 
 # The special tokens and their ids.
@@ -73,16 +72,15 @@ class Model:
 
     def save(self, path: str) -> None:
         """As JSON: version, model_type, vocab_size, special_tokens, vocab, merges."""
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
         kept = {"version": "1.0", "model_type": "bpe", "vocab_size": self.vocab_size, "special_tokens": self.special_tokens, "vocab": self.vocab, "merges": self.merges}
-        Path(path).write_text(json.dumps(kept, ensure_ascii=False, indent=2), encoding="utf-8")
+        write_text(path, [json.dumps(kept, ensure_ascii=False, indent=2)])
 
     @classmethod
     def load(cls, path: str) -> Model:
-        if not Path(path).exists():
+        if not file_exists(path):
             raise FileNotFoundError(f"no model file at {path}")
         try:
-            data = json.loads(Path(path).read_text(encoding="utf-8"))
+            data = json.loads(read_text(path))
         except ValueError as e:
             raise ValueError(f"{path} isn't JSON: {e}") from e
         if not isinstance(data, dict) or not {"vocab", "merges"} <= data.keys():

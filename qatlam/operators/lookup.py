@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from qatlam.sources.tables import small_enough
 
-#: A key table estimated below this is broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 32 << 20
+#: A key table estimated below this in memory is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 96 << 20
 
 
 def _side(keys: DataFrame) -> DataFrame:
@@ -30,12 +30,17 @@ def find_suffixes(words: DataFrame, suffixes: DataFrame, longest: int, word: str
 
 
 def find_prefixes(words: DataFrame, stems: DataFrame, longest: int | None = None, word: str = "word", stem: str = "stem") -> DataFrame:
-    """``words`` with each stem that begins the word, one row a match."""
-    most = F.length(word) if longest is None else F.least(F.lit(longest), F.length(word))
-    begins = words.where(F.length(word) > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), most))).withColumn(stem, F.expr(f"left(`{word}`, `__n`)")).drop("__n")
+    """``words`` with each stem that begins the word, one row a match; no stem is longer than ``longest`` (found if not given)."""
+    most = F.least(F.lit(longest_key(stems, stem) if longest is None else longest), F.length(word))
+    begins = words.where((F.length(word) > 0) & (most > 0)).withColumn("__n", F.explode(F.sequence(F.lit(1), most))).withColumn(stem, F.expr(f"left(`{word}`, `__n`)")).drop("__n")
     return begins.join(_side(stems), stem)
 
 
+def longest_key(keys: DataFrame, key: str) -> int:
+    """The length of the longest key, 0 without any: one aggregate, so that no word is cut into more pieces than can match."""
+    return keys.agg(F.coalesce(F.max(F.length(key)), F.lit(0))).first()[0]
+
+
 def longest_prefix(words: DataFrame, stems: DataFrame, word: str = "word", stem: str = "stem") -> DataFrame:
     """(word, stem): the longest stem that begins each distinct word; null where none does."""
     distinct = words.select(word).where(F.col(word).isNotNull()).distinct()

@@ -10,8 +10,9 @@ from qatlam.operators import bpe as B
 from qatlam.operators import tokens as K
 from qatlam.operators import vocab as V
 from qatlam.plans import fragments as S
-from qatlam.plans.lexical import stems
+from qatlam.plans.lexical import new_file, stems
 from qatlam.session import materialise
+from qatlam.sources import models
 from qatlam.sources.tables import table
 
 
@@ -19,11 +20,11 @@ def _tokens(spark: SparkSession, d: str, model: B.Model | None = None, include_s
     return K.tokenize(table(spark, d, "documents"), stems(spark, d), A.default_affixes(spark), include_spaces=include_spaces, model=model)
 
 
-def _word_rows(spark: SparkSession, d: str) -> DataFrame:
+def _word_rows(spark: SparkSession, d: str, model: B.Model | None = None) -> DataFrame:
     """The distinct raw tokens of the documents with what is known of them and how often they occur."""
     tokens = K.keep_tokens(K.split_text(table(spark, d, "documents")))
     counted = materialise(tokens.groupBy("text", "token_type").agg(F.count(F.lit(1)).alias("n")), "raw-tokens")
-    words = K.analyse_words(counted, stems(spark, d), A.default_affixes(spark))
+    words = K.analyse_words(counted, stems(spark, d), A.default_affixes(spark), model=model)
     kept = counted.join(words, "text", "left")
     return kept.withColumn("is_morph", F.coalesce("is_morph", F.lit(False))).withColumn("is_bpe", F.coalesce("is_bpe", F.lit(False)))
 
@@ -63,6 +64,21 @@ def unified_vocab(spark: SparkSession, d: str) -> DataFrame:
     return V.build_vocab(spark, stems(spark, d))
 
 
+def vocab_file(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary, written to a file and read again."""
+    path = new_file(spark, "vocab") + ".json"
+    models.save_vocab(V.build_vocab(spark, stems(spark, d)), path)
+    return models.load_vocab(spark, path)
+
+
+def bpe_file(spark: SparkSession, d: str) -> DataFrame:
+    """Byte pairs trained, saved and loaded again, in the hybrid tokenizer: the subwords of each distinct token."""
+    path = new_file(spark, "bpe") + ".json"
+    B.train(table(spark, d, "documents")).save(path)
+    rows = _word_rows(spark, d, B.Model.load(path))
+    return rows.select("text", "is_morph", "is_bpe", F.array_join(K.subwords("hybrid"), "|").alias("subwords"))
+
+
 def _ids(spark: SparkSession, d: str, known: DataFrame) -> DataFrame:
     return K.encode_documents(table(spark, d, "documents"), stems(spark, d), A.default_affixes(spark), known)
 
@@ -88,7 +104,7 @@ def pad_truncate(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    q.__name__: q for q in (subword_frequency, subword_styles, token_stats, method_metrics, token_records, doc_subwords, unified_vocab, encode_ids, decode_ids, pad_truncate)
+    q.__name__: q for q in (subword_frequency, subword_styles, token_stats, method_metrics, token_records, doc_subwords, unified_vocab, vocab_file, bpe_file, encode_ids, decode_ids, pad_truncate)
 }
 
 # ------------------------------------------------------------------ SQL
@@ -148,6 +164,7 @@ SQL = {
     "method_metrics": f"""{_WITH}, {_toks('hybrid')} SELECT count(*) AS words, sum(len(subs))::BIGINT AS subwords, round(avg(len(subs)), 6) AS per_word,
         round(avg(found::INTEGER), 6) AS root_share FROM toks WHERE token_type = 'word'""",
     "doc_subwords": f"""{_WITH}, {_toks('plus')} SELECT doc_id, sum(len(subs))::INTEGER AS n, string_agg(array_to_string(subs, ' '), ' ' ORDER BY pos) AS strings FROM toks GROUP BY doc_id""",
+    "vocab_file": f"WITH {S.variants()}, {S.STEMS}, {_VOCAB} SELECT token, id FROM vocab",
     "unified_vocab": f"WITH {S.variants()}, {S.STEMS}, {_VOCAB} SELECT token, id FROM vocab",
     "encode_ids": f"{_WITH}, {_IDS} SELECT doc_id, count(*)::INTEGER AS n, string_agg(id::VARCHAR, ' ' ORDER BY pos, k) AS ids FROM ids GROUP BY doc_id",
     "decode_ids": f"""{_WITH}, {_IDS}, pieces AS (SELECT i.doc_id, i.pos, i.k, v.token FROM ids i JOIN vocab v ON i.id = v.id WHERE i.id > 4),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from qatlam.functions import text as T
 from qatlam.operators import analysis as A
 from qatlam.operators import lookup as L
 from qatlam.plans import fragments as S
+from qatlam.session import shared_folder, write_text
 from qatlam.sources import lexicon
 from qatlam.sources.tables import table
 
@@ -53,9 +56,9 @@ def suffix_matches_linear(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suffix_completions(spark: SparkSession, d: str) -> DataFrame:
-    """Affix variants as words among all variants: what ends each, and what completes it to a longer one."""
+    """Word tokens among all affix variants: what ends each, and what completes it to a variant."""
     keys = _variants(spark).select(F.col("variant").alias("key")).distinct()
-    return L.suffixes_and_completions(keys.select(F.col("key").alias("word")), keys, 7)
+    return L.suffixes_and_completions(words(spark, d), keys, 7)
 
 
 def prefix_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +74,8 @@ def prefix_limit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dict_iterate(spark: SparkSession, d: str) -> DataFrame:
-    """Variants in the order of their reversed strings."""
-    return L.iterate_suffixes(_variants(spark).select(F.col("variant").alias("suffix"))).select("suffix", F.reverse("suffix").alias("key"))
+    """The dictionary in the order of its reversed strings."""
+    return L.iterate_suffixes(stems(spark, d).select(F.col("stem").alias("suffix"))).select("suffix", F.reverse("suffix").alias("key"))
 
 
 def dict_semi(spark: SparkSession, d: str) -> DataFrame:
@@ -90,14 +93,33 @@ def batch_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def payload_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """An index of variants with their affix ids for payload, probed with all variants and some strangers."""
-    variants = _variants(spark)
-    empty = spark.createDataFrame([], "key string, payloads array<string>")
-    index = L.insert_keys(empty, variants.select(F.col("variant").alias("key"), F.col("affix_id").alias("payload")))
-    probes = variants.select(F.concat("variant", F.lit("x")).alias("key")).unionAll(variants.select("variant")).distinct()
+    """An index of the suffixes in use with their affix ids for payload, probed with all suffixes and all words."""
+    used = table(spark, d, "morph_tokens").where("text is not null and affix_id is not null").select(F.col("text").alias("key"), F.col("affix_id").alias("payload")).distinct()
+    index = L.insert_keys(spark.createDataFrame([], "key string, payloads array<string>"), used)
+    probes = table(spark, d, "morph_tokens").where("text is not null").select(F.col("text").alias("key")).unionAll(words(spark, d)).distinct()
     return L.get_payloads(probes, index).select("key", F.array_join("payloads", " ").alias("payloads"))
 
 
+def new_file(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stem_file(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary, written to a file of stems and read again."""
+    path = new_file(spark, "dictionary") + ".txt"
+    lexicon.write_stems(stems(spark, d), path)
+    return lexicon.read_stems(spark, path)
+
+
+def hunspell_file(spark: SparkSession, d: str) -> DataFrame:
+    """The stems of a Hunspell file made of the dictionary, by way of the file of stems that is kept beside it."""
+    path = new_file(spark, "hunspell")
+    listed = [r["stem"] for r in stems(spark, d).collect()]  # a dictionary
+    write_text(path + ".dic", [f"{len(listed)}\n", *(f"{s}/{'AB'[k % 2]}\n" if k % 3 else f"{s}\n" for k, s in enumerate(listed))])
+    lexicon.read_hunspell(spark, path + ".dic", path + ".txt")
+    return lexicon.read_hunspell(spark, path + ".none", path + ".txt")
+
+
 def dict_stats(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.dictionary_stats(stems(spark, d))
 
@@ -133,7 +155,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         affix_table, affix_variants, affix_usage, suffix_matches, suffix_matches_linear, suffix_completions, prefix_matches, prefix_longest, prefix_limit, dict_iterate, dict_semi, dict_anti, batch_lookup, payload_lookup,
-        dict_stats, set_ops, set_new, hunspell_parse, allomorph_check,
+        dict_stats, set_ops, set_new, hunspell_parse, stem_file, hunspell_file, allomorph_check,
     )
 }
 
@@ -150,20 +172,23 @@ SQL = {
         SELECT own.affix_id, own.text, coalesce(n, 0) AS n FROM own LEFT JOIN used ON own.affix_id = used.affix_id AND own.text = used.text""",
     "suffix_matches": f"""WITH {_V}, {_W} SELECT word, variant AS suffix, affix_id, (row_number() OVER (PARTITION BY word ORDER BY trie_ord))::INTEGER AS rank FROM words JOIN variants ON suffix(word, variant)""",
     "suffix_matches_linear": f"WITH {_V}, {_W} SELECT word, count(*) AS n, min_by(affix_id, lin_ord) AS first_affix FROM words JOIN variants ON suffix(word, variant) GROUP BY word",
-    "suffix_completions": f"""WITH {_V}, k AS (SELECT DISTINCT variant AS word FROM variants),
-        c AS (SELECT a.word, b.word[length(a.word) + 1:] AS match FROM k a JOIN k b ON starts_with(b.word, a.word) AND a.word <> b.word),
-        s AS (SELECT a.word, b.word AS match FROM k a JOIN k b ON suffix(a.word, b.word) WHERE a.word <> b.word OR a.word NOT IN (SELECT word FROM c))
+    "suffix_completions": f"""WITH {_V}, {_W}, k AS (SELECT DISTINCT variant AS word FROM variants),
+        c AS (SELECT a.word, b.word[length(a.word) + 1:] AS match FROM words a JOIN k b ON starts_with(b.word, a.word) AND a.word <> b.word WHERE a.word <> ''),
+        s AS (SELECT a.word, b.word AS match FROM words a JOIN k b ON suffix(a.word, b.word) WHERE a.word <> b.word OR a.word NOT IN (SELECT word FROM c))
         SELECT word, match, 'suffix' AS kind FROM s UNION SELECT word, match, 'completion' FROM c WHERE (word, match) NOT IN (SELECT (word, match) FROM s)""",
     "prefix_matches": f"WITH {_ST}, {_W} SELECT word, stem FROM words JOIN stem_list ON starts_with(word, stem) WHERE word <> ''",
     "prefix_longest": f"WITH {_ST}, {_W} SELECT word, max_by(stem, length(stem)) AS stem FROM words LEFT JOIN stem_list ON starts_with(word, stem) GROUP BY word",
     "prefix_limit": f"WITH {_ST} SELECT stem FROM stem_list WHERE starts_with(stem, 'sh') ORDER BY stem LIMIT 100",
-    "dict_iterate": f"WITH {_V} SELECT DISTINCT variant AS suffix, reverse(variant) AS key FROM variants",
+    "dict_iterate": f"WITH {_ST} SELECT stem AS suffix, reverse(stem) AS key FROM stem_list",
+    "stem_file": f"WITH {_ST} SELECT stem FROM stem_list",
+    "hunspell_file": f"WITH {_ST} SELECT stem FROM stem_list",
     "dict_semi": f"WITH {_ST}, {_W} SELECT word FROM words WHERE word IN (SELECT stem FROM stem_list)",
     "dict_anti": f"WITH {_ST}, {_W} SELECT word FROM words WHERE word NOT IN (SELECT stem FROM stem_list)",
     "batch_lookup": f"""WITH {_ST}, t AS (SELECT {S.folded('text')} AS word FROM tokens WHERE token_type = 'word' AND text IS NOT NULL)
         SELECT word, word IN (SELECT stem FROM stem_list) AS found, count(*) AS n FROM t GROUP BY ALL""",
-    "payload_lookup": f"""WITH {_V}, i AS (SELECT variant AS key, string_agg(affix_id, ' ' ORDER BY affix_id) AS payloads FROM variants GROUP BY variant),
-        p AS (SELECT variant AS key FROM variants UNION SELECT variant || 'x' FROM variants) SELECT p.key, payloads FROM p LEFT JOIN i ON p.key = i.key""",
+    "payload_lookup": f"""WITH {_W}, i AS (SELECT key, string_agg(affix_id, ' ' ORDER BY affix_id) AS payloads FROM (
+          SELECT DISTINCT text AS key, affix_id FROM morph_tokens WHERE text IS NOT NULL AND affix_id IS NOT NULL) GROUP BY key),
+        p AS (SELECT text AS key FROM morph_tokens WHERE text IS NOT NULL UNION SELECT word FROM words) SELECT p.key, payloads FROM p LEFT JOIN i ON p.key = i.key""",
     "dict_stats": f"""WITH {_ST} SELECT count(*) AS total_stems, avg(length(stem)) AS avg_length, min(length(stem))::INTEGER AS min_length, max(length(stem))::INTEGER AS max_length,
         count(*) FILTER (contains(stem, '''')) AS with_apostrophe FROM stem_list""",
     "set_ops": f"""WITH {_ST}, {_MORE} SELECT stem FROM (SELECT stem FROM stem_list UNION SELECT stem FROM more)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from qatlam.operators import analysis as A
 from qatlam.plans import fragments as S
-from qatlam.plans.lexical import stems, words
+from qatlam.plans.lexical import new_file, stems, words
+from qatlam.sources.tables import table
+from qatlam.tokenizer import Tokenizer
 
 
 def _ids(suffixes: str = "suffixes") -> Column:
@@ -48,7 +50,14 @@ def strip_depths(spark: SparkSession, d: str) -> DataFrame:
     return states.groupBy("word", F.size("path").alias("depth")).agg(F.count(F.lit(1)).alias("states"))
 
 
-QUERIES = {q.__name__: q for q in (analyze_best, analyze_best_linear, analyze_topk, oov_analysis, analysis_records, strip_depths)}
+def tokenizer_folder(spark: SparkSession, d: str) -> DataFrame:
+    """A tokenizer saved and loaded again: the best analysis that what was loaded gives each word."""
+    path = new_file(spark, "tokenizer")
+    Tokenizer(spark, table(spark, d, "stems")).save(path)
+    return _plain(Tokenizer.load(spark, path).analyze(words(spark, d)))
+
+
+QUERIES = {q.__name__: q for q in (analyze_best, tokenizer_folder, analyze_best_linear, analyze_topk, oov_analysis, analysis_records, strip_depths)}
 
 _CHAIN = "array_to_string(list_transform(list_reverse(path), lambda o: '+' || texts[o] || '(' || meanings[o] || ')'), ' -> ')"
 _IDS_OF = "array_to_string(list_transform(list_reverse(path), lambda o: ids[o]), ' ')"
@@ -65,6 +74,7 @@ def _best(order: str) -> str:
 
 SQL = {
     "analyze_best": _best("trie_ord"),
+    "tokenizer_folder": _best("trie_ord"),
     "analyze_best_linear": _best("lin_ord"),
     "analyze_topk": f"{_with('trie_ord', 5)} SELECT word, rank::INTEGER AS rank, root, found AS is_found, confidence, {_IDS_OF} AS affixes, {_CHAIN} AS chain FROM analyses_found, names",
     "oov_analysis": f"""WITH RECURSIVE {S.variants()}, stem_list AS (SELECT '' AS stem WHERE FALSE), {S.WORDS}, {S.analysis('trie_ord', 5)}, names AS ({S.IDS.format(order='trie_ord')})

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qatlam.functions.text import fold_spelling
 from qatlam.functions.udfs import nfkc
+from qatlam.session import file_exists, write_text
 
 # The affixes. Columns: id, base, meaning in Uzbek, meaning in English, type,
 # category, variants, categories it may follow ("" = any), priority.
@@ -120,7 +119,7 @@ def new_stems(known: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    if "://" not in path and not Path(path).exists():
+    if not file_exists(path):
         raise FileNotFoundError(f"no dictionary file at {path}")
     return spark.read.text(path).select(F.trim("value").alias("line"))
 
@@ -140,9 +139,9 @@ def read_hunspell(spark: SparkSession, path: str, cache: str | None = None) -> D
 
     The file must be at hand: nothing is downloaded. With ``cache``, the stems are written there.
     """
-    if cache and Path(cache).exists():
+    if cache and file_exists(cache):
         return read_stems(spark, cache)
-    if "://" not in path and not Path(path).exists():
+    if not file_exists(path):
         raise ConnectionError(f"no dictionary at {path}")
     stems = parse_hunspell(_lines(spark, path))
     if cache:
@@ -152,11 +151,7 @@ def read_hunspell(spark: SparkSession, path: str, cache: str | None = None) -> D
 
 def write_stems(stems: DataFrame, path: str) -> None:
     """One stem a line, sorted, in one file of this name (a dictionary is small)."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with target.open("w", encoding="utf-8") as f:
-        for row in stems.orderBy("stem").toLocalIterator():
-            f.write(row["stem"] + "\n")
+    write_text(path, (row["stem"] + "\n" for row in stems.orderBy("stem").toLocalIterator()))
 
 
 def dictionary_stats(stems: DataFrame) -> DataFrame:

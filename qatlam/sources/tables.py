@@ -9,10 +9,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes in memory that a byte of a compressed file may become, in a hash table of strings and structs.
+IN_MEMORY = 6
+
+
 def small_enough(df: DataFrame, limit_bytes: int) -> bool:
-    """Whether the optimizer's size estimate of ``df`` (file sizes for a scan) stays under ``limit_bytes``."""
+    """Whether ``df`` is taken to stay under ``limit_bytes`` in memory: the optimizer's estimate, times ``IN_MEMORY`` as it rests on file sizes."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes())) <= limit_bytes
+    return IN_MEMORY * int(str(stats.sizeInBytes())) <= limit_bytes
 
 
 def spread(df: DataFrame) -> DataFrame:
