@@ -39,7 +39,7 @@ SOFT = "".join(sorted(_with("ATerm"))) + "…"
 #: Terminators of scripts without a difference of case, or (U+0589) never used inside a sentence.
 ABSOLUTE = frozenset(HARD) - frozenset("!?‼‽⁇⁈⁉")
 _CLOSE = _with("Close")
-CLOSERS = "".join(sorted(c for c in _CLOSE if unicodedata.category(c) in ("Pe", "Pf")))
+CLOSERS = frozenset(c for c in _CLOSE if unicodedata.category(c) in ("Pe", "Pf"))
 OPENERS = "".join(sorted(c for c in _CLOSE if unicodedata.category(c) in ("Ps", "Pi")))
 BRACKET_OPEN, BRACKET_CLOSE = "([{（［｛【〔〖", ")]}）］｝】〕〗"
 DASHES = "—–―-"
@@ -70,7 +70,9 @@ _STARTERS = {k: frozenset(w.capitalize() for w in words if len(w) > 1) for k, wo
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 _BLANK_LINE = re.compile(r"(?:\r\n|[\n\r\x85 ])[^\S\n\r\x85  ]*(?:\r\n|[\n\r\x85 ])\s*| \s*")
-_MARK = re.compile(f"[{re.escape(HARD + SOFT)}]+")
+_MARK = re.compile(f"[{re.escape(''.join(c for c in HARD + SOFT if c < chr(0x10000)))}]+")
+#: The same with the terminators beyond the basic plane, which a pattern tries one by one: for texts that reach there only.
+_ANY_MARK, _BEYOND = re.compile(f"[{re.escape(HARD + SOFT)}]+"), re.compile("[\U00010000-\U0010ffff]")
 _WORD_BEFORE = re.compile(r"[^\W\d_][\w.ʻʼ'’‘`´-]{0,11}\Z")
 _LIST_NUMBER = re.compile(r"[(\[]?\d{1,4}(?:[.)]\d{1,3}){0,3}\Z")
 _SPACE = re.compile(r"\s*")
@@ -188,7 +190,7 @@ def split_paragraph(para: str, base: int, out: list[tuple[int, int]], language:
     # a bracket that never closes holds nothing together
     closing = _closed_brackets(para) if _NESTING.search(para) else set()
     pos = start
-    for mark in _MARK.finditer(para, start):
+    for mark in (_ANY_MARK if _BEYOND.search(para) else _MARK).finditer(para, start):
         if mark.start() < pos:
             continue
         # brackets and quotes that opened since
