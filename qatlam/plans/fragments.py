@@ -164,4 +164,4 @@ def affix_ids() -> str:
     return "list_transform(list_reverse(path), lambda o: ids[o])"
 
 
-IDS = "SELECT list(affix_id ORDER BY {order}) AS ids, list(variant ORDER BY {order}) AS texts, list(meaning_uz ORDER BY {order}) AS meanings FROM variants"
+IDS = "SELECT list(affix_id ORDER BY {order}) AS ids, list(variant ORDER BY {order}) AS texts, list(meaning_uz ORDER BY {order}) AS meanings, list(meaning_en ORDER BY {order}) AS meanings_en, list(affix_type ORDER BY {order}) AS types, list(category ORDER BY {order}) AS categories FROM variants"

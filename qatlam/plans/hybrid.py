@@ -151,7 +151,16 @@ sub_ids AS (SELECT s.sub, coalesce(a.id, b.id, c.id, 1) AS id FROM (SELECT DISTI
   LEFT JOIN vocab c ON c.token = lower(s.sub)),
 ids AS (SELECT doc_id, pos, k, i.id FROM subs s JOIN sub_ids i ON s.sub = i.sub)"""
 
+_SUFFIX = "{'text': texts[o], 'affix_id': ids[o], 'meaning_uz': meanings[o], 'meaning_en': meanings_en[o], 'affix_type': types[o], 'category': categories[o]}"
+_CHAIN = "array_to_string(list_transform(p, lambda o: '+' || texts[o] || '(' || meanings[o] || ')'), ' -> ')"
+_RECORD = f"""records AS (SELECT text, to_json({{'text': text, 'type': 'word', 'is_morph': found OR len(p) > 0, 'is_bpe': FALSE, 'morph': {{
+      'original': CASE WHEN found OR len(p) > 0 THEN word ELSE text END, 'root': root, 'status': CASE WHEN found THEN 'found' ELSE 'unknown' END, 'is_compound': FALSE,
+      'confidence': round(coalesce(confidence, 0), 3), 'suffixes': list_transform(p, lambda o: {_SUFFIX}), 'suffix_chain': {_CHAIN}}}}})::VARCHAR AS record
+    FROM (SELECT *, coalesce(list_reverse(path), []) AS p FROM known), names)"""
+
 SQL = {
+    "token_records": f"""{_WITH}, {_RECORD} SELECT DISTINCT k.text, CASE WHEN k.token_type = 'word' THEN r.record
+        ELSE to_json({{'text': k.text, 'type': k.token_type, 'is_morph': FALSE, 'is_bpe': FALSE}})::VARCHAR END AS record FROM kept k LEFT JOIN records r ON k.token_type = 'word' AND k.text = r.text""",
     "subword_frequency": f"{_WITH}, {_toks('hybrid')} SELECT subword, count(*) AS n FROM (SELECT unnest(subs) AS subword FROM toks) GROUP BY subword",
     "subword_styles": f"{_WITH} SELECT DISTINCT k.text, "
     + ", ".join(f"CASE WHEN k.token_type = 'word' THEN array_to_string({_sub(*K.STYLES[s])}, '|') ELSE k.text END AS {s}" for s in K.STYLES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +48,12 @@ def clean_text_core(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_unescape_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as a web page has them, with entities by name, by number and by hexadecimal number, resolved and cleaned."""
     docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
-    return unescape_html(docs, "text").select("doc_id", T.clean_text("text").alias("cleaned"))
+    page = F.col("text")
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("«", "&laquo;"), ("—", "&#8212;"), ("ʻ", "&#x2BB;"), ("ʼ", "&#700;")):
+        page = F.replace(page, F.lit(plain), F.lit(entity))
+    return unescape_html(docs.withColumn("text", page), "text").select("doc_id", T.clean_text("text").alias("cleaned"))
 
 
 def script_detect(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +95,17 @@ _CYR, _LAT = "regexp_matches(text, '[\\x{0400}-\\x{052f}]')", "regexp_matches(te
 _UZ = """regexp_matches(text, '^[a-zA-Z][a-zA-Z''ʻʼ’‘]*$') AND NOT contains(text, chr(10)) AND NOT regexp_matches(text, '(^|[^oOgG])[''ʻʼ’‘]$')
   AND NOT regexp_matches(text, '[''ʻʼ’‘]{2}')"""
 
+# NFKC is the canonical composition of the compatibility decompositions, which are a rule of the character database
+_COMPATIBLE = [(c, k) for c in map(chr, range(0xA0, 0x110000)) if (k := unicodedata.normalize("NFKD", c)) != unicodedata.normalize("NFD", c)]
+_NFKC = f"""compatible(ch, decomposed) AS (VALUES {", ".join(f"(chr({ord(c)}), {S.quoted(k)})" for c, k in _COMPATIBLE)}),
+    places AS (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM texts), chars AS (SELECT text, i, text[i] AS cluster FROM places),
+    points AS (SELECT text, i, unnest(range(1, len(u) + 1)) AS j, u FROM (SELECT text, i, list_filter(regexp_split_to_array(cluster, ''), lambda x: x <> '') AS u FROM chars)),
+    resolved AS (SELECT p.text, string_agg(coalesce(m.decomposed, p.u[p.j]), '' ORDER BY i, j) AS spelled FROM points p LEFT JOIN compatible m ON m.ch = p.u[p.j] GROUP BY p.text),
+    forms AS (SELECT t.text, nfc_normalize(coalesce(r.spelled, t.text)) AS form FROM texts t LEFT JOIN resolved r ON t.text = r.text)"""
+
 SQL = {
+    "html_unescape_clean": f"SELECT doc_id, {S.cleaned('text')} AS cleaned FROM documents WHERE text IS NOT NULL",
+    "nfkc_normalize": f"WITH {_TEXTS}, {_NFKC} SELECT text, {S.folded('form')} AS normalized FROM forms",
     "apostrophe_norm": f"WITH {_TEXTS} SELECT text, {S.apostrophes('text')} AS normalized FROM texts",
     "apostrophe_roundtrip": f"""WITH {_TEXTS}, o AS (
         SELECT text, list_filter(list_transform(range(0, length(text)), lambda i: CASE WHEN contains({_AP}, text[i + 1]) THEN i::VARCHAR || ':' || text[i + 1] END), lambda x: x IS NOT NULL) AS found FROM texts)
