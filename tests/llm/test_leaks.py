@@ -83,6 +83,50 @@ def test_stock_of_many_items(spark):
     assert {d: set(x) for d, x in leaks(spark, docs, own).items()} == {1: set(), 2: set(), 3: {7}, 4: {9}, 5: {299, 300}}
 
 
+def test_items_that_share_nearly_all(spark):
+    """However many items share a passage or a template, it is no stock if they are made of it; what one item alone has tells them apart."""
+    rng = random.Random(8)
+
+    def own(n):
+        return " ".join(f"soz{rng.randrange(10**6)}" for _ in range(n))
+
+    header = own(14)
+    passage, sentence = header + " " + own(60), "agar {a} kg olma bilan {b} kg nok va {c} dona uzum yana {d} dona anor olinib {e} kishiga teng boʻlinsa har biriga qancha tegadi"
+    questions = {k: passage + " " + own(10) for k in range(6)}
+    near = own(20).split()
+    variants = {10 + k: " ".join([*near[:6], f"bir{k}", *near[6:15], f"ikki{k}", *near[15:]]) for k in range(8)}
+    values = {20 + k: {v: 10 * k + n + 1 for n, v in enumerate("abcde")} for k in range(9)}
+    problems = {k: sentence.format(**v) for k, v in values.items()}
+    others = {100 + k: header + " " + own(30) for k in range(60)}
+    names = {200 + k: " ".join(f"dedi {n}{k} keyin" for n in ("Alisher", "Botir", "Vali", "Gani", "Davron", "Elyor", "Zokir")) for k in range(7)}
+    docs = {
+        1: doc(questions[2].split()[30:60]), 2: doc(questions[2].split(), 1), 3: doc(header.split()), 4: doc(variants[13].split()), 5: doc(variants[13].split()[7:15] + variants[13].split()[:3]),
+        6: doc(problems[23].split()), 7: doc(sentence.format(a=901, b=902, c=903, d=904, e=905).split()), 8: "bugun u " + names[203] + " deb yozdi",
+    }
+    got = leaks(spark, docs, questions | variants | problems | others | names)
+    assert set(got[1]) == set(got[2]) == set(questions)
+    assert set(got[3]) == set() and set(got[5]) == set()
+    assert set(got[4]) == set(variants) and got[4][13]["edits"] == 0
+    assert set(got[6]) == set(got[7]) == set(problems) and got[6][23]["edits"] == 0
+    assert 203 in got[8] and not got[8][203]["reparameterised"]
+
+
+def test_numbers_alone(spark):
+    """An item of nothing but numbers is found by their values in order."""
+    rng = random.Random(2)
+    numbers = [str(rng.randrange(10**4)) for _ in range(20)]
+    docs = {1: doc(numbers), 2: doc(numbers[3:17], 1), 3: doc(sorted(numbers), 2), 4: doc([str(int(n) + 1) for n in numbers], 3), 5: doc([*numbers[:8], "7", *numbers[9:]], 4)}
+    assert {d for d, x in leaks(spark, docs, {1: " ".join(numbers)}).items() if x} == {1, 2, 5}
+
+
+def test_items_of_a_document_in_parts(spark, monkeypatch):
+    """Items held in several rows for one document give the same pairs."""
+    items = {k: " ".join(ITEM[k : k + 20]) for k in range(0, 40, 10)}
+    whole = leaks(spark, {1: doc(ITEM)}, items)
+    monkeypatch.setattr(L, "ITEMS_AT_ONCE", 1)
+    assert leaks(spark, {1: doc(ITEM)}, items) == whole and set(whole[1]) == set(items)
+
+
 def test_stock_of_many_documents(spark, monkeypatch):
     monkeypatch.setattr(L, "STOCK_DOCUMENTS", 5)
     greeting = " ".join(f"salom{k}" for k in range(14))
