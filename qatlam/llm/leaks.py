@@ -15,7 +15,7 @@
 4. *Alignment* of the stretches around joined windows, for surviving pairs only. The stretch must
    cover at least ``min_words`` words of the item, with at most one in ``edit_every`` words changed,
    added or missing beyond a small allowance, and some words that aren't stock as they stand, or be
-   nearly the whole item.
+   nearly the whole item. Where the best alignment fails, the best that passes counts.
 5. *Slot consistency.* Slots count as equal when the same value of the item always meets the same
    value of the document, which is what a re-parameterised question looks like; the pair is then
    marked, and a stretch that holds only by its slots doesn't count as copied.
@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -257,15 +257,20 @@ def _groups(hits: list[tuple[int, int]], item_words: int) -> list[tuple[int, int
 EDIT_COST, BREAK_OFF = 2, 6
 
 
-def align(doc: list[int], item: list[int], equal: set[tuple[int, int]] = frozenset(), stock: frozenset[int] = frozenset(), band: tuple[int, int] | None = None) -> tuple[int, int, int, int, int]:
+def align(
+    doc: list[int], item: list[int], equal: set[tuple[int, int]] = frozenset(), stock: frozenset[int] = frozenset(), band: tuple[int, int] | None = None,
+    enough: Callable[[int, int, int, int, int], bool] | None = None, edit_cost: int = EDIT_COST,
+) -> tuple[int, int, int, int, int]:
     """The best local alignment: (agreeing words, edits, words of the item covered, slots and words not stock among the agreeing).
 
     ``stock`` are places in the item; ``band`` bounds the place in the document less that in the item.
+    With ``enough`` it is the best of those that are, zeros if none is.
     """
     width = len(item) + 1
     zero = (0, 0, 0, 0, 0, 0, 0)  # score, agreeing, edits, covered, slots, not stock, best score on the way
     best, prev = zero, [zero] * width
     low, high = band if band else (-width, len(doc))
+    break_off = BREAK_OFF * edit_cost // EDIT_COST
     for i, d in enumerate(doc):
         cur = [zero] * width
         left = zero
@@ -275,7 +280,7 @@ def align(doc: list[int], item: list[int], equal: set[tuple[int, int]] = frozens
                 p = prev[j - 1]
                 s = p[0] + 1
                 left = (s, p[1] + 1, p[2], p[3] + 1, p[4] + (d != it), p[5] + (j - 1 not in stock), s if s > p[6] else p[6])
-                if left > best:
+                if left > best and (enough is None or enough(*left[1:6])):
                     best = left
             else:
                 a, b = prev[j - 1], prev[j]
@@ -285,8 +290,8 @@ def align(doc: list[int], item: list[int], equal: set[tuple[int, int]] = frozens
                     p, covers = b, 0
                 else:
                     p, covers = left, 1
-                s = p[0] - EDIT_COST
-                left = (s, p[1], p[2] + 1, p[3] + covers, p[4], p[5], p[6]) if s > 0 and s >= p[6] - BREAK_OFF else zero
+                s = p[0] - edit_cost
+                left = (s, p[1], p[2] + 1, p[3] + covers, p[4], p[5], p[6]) if s > 0 and s >= p[6] - break_off else zero
             cur[j] = left
         prev = cur
     return best[1], best[2], best[3], best[4], best[5]
@@ -318,12 +323,26 @@ def judge(doc: list[str], doc_kinds: list[int], item: list[str], item_kinds: lis
     mine = [number.setdefault(w, len(number)) for w in doc]
     equal = {(number[a], number[b]) for a, b in _consistent_slots(doc, doc_kinds, item, item_kinds, hits)}
     shifts = [pos - i for pos, i in hits]
-    agreeing, edits, covered, slots, own = align(mine, theirs, equal, stock, (min(shifts) - SLACK, max(shifts) + SLACK))
+    low, high = min(shifts) - SLACK, max(shifts) + SLACK
     least = min_words - max(1, min_words // edit_every)
-    if covered < min_words or edits * edit_every > covered + edit_every or agreeing < least:
-        return None
-    if own < min(WINDOW, least) and agreeing < len(item) - len(item) // edit_every:
-        return None
+
+    def holds(agreeing: int, edits: int, covered: int, slots: int, own: int, allowed: int = 0) -> bool:
+        if agreeing < least or covered < min_words or edits * edit_every > covered + allowed:
+            return False
+        return own >= min(WINDOW, least) or agreeing >= len(item) - len(item) // edit_every
+
+    got = align(mine, theirs, equal, stock, (low, high))
+    if not holds(*got, allowed=edit_every):
+        known = set(theirs) | {a for a, _ in equal}
+        if sum(1 for w in mine if w in known) < least:
+            return None
+        # A denser part beside it may spoil the best alignment, or a word beyond its last edit be missing from it.
+        turned = mine[::-1], theirs[::-1], equal, frozenset(len(item) - 1 - p for p in stock), (len(doc) - len(item) - high, len(doc) - len(item) - low)
+        tried = (align(*side, holds, cost) for cost in (EDIT_COST, edit_every) for side in ((mine, theirs, equal, stock, (low, high)), turned))
+        got = next((x for x in tried if x[0]), None)
+        if got is None:
+            return None
+    agreeing, edits, _, slots, _ = got
     return agreeing, edits, bool(slots) and agreeing - slots < least
 
 

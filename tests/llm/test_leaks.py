@@ -186,6 +186,21 @@ def test_alignment_breaks_off():
     assert L.align([], item)[0] == 0 and L.align(item, [])[0] == 0
 
 
+def test_other_alignments_than_the_best():
+    """A stretch holds the item if any alignment of it does: the best one may run on into a denser part, or end at its last edit."""
+    item = [f"a{k}" for k in range(60)]
+    dense = [w if k % 4 else "zz" for k, w in enumerate(item)]
+
+    def held(doc, stock=frozenset()):
+        hits = [(p, i) for p in range(len(doc) - 4) for i in range(len(item) - 4) if doc[p : p + 5] == item[i : i + 5]] or [(0, 0)]
+        return L.judge(doc, [0] * len(doc), item, [0] * len(item), hits, stock, 12, 6) is not None
+
+    assert held(item[:13] + dense[13:]) and held(dense[:47] + item[47:]) and held(dense[:24] + item[24:37] + dense[37:])
+    assert held([item[0], "zz", *item[2:13], "y"]) and held(["y", *item[:11], "zz", item[12]])
+    assert not held(dense) and not held(item[:11]) and not held([*item[:11], "zz"]) and not held([*item[:6], "zz", "zz", "zz", *item[9:14]])
+    assert held(["zz", *item[47:]], stock=frozenset(range(47))) and not held(dense[:20] + item[20:33], stock=frozenset(range(60)))
+
+
 def test_tables(spark):
     docs = spark.createDataFrame([(1, doc(ITEM), "x"), (1, doc(ITEM), "y"), (2, doc(ITEM[:15] + ["q"] * 30 + ITEM[::-1][:20]), "x"), (3, None, "x"), (None, doc(ITEM), "x"), (4, "", "x")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(10, " ".join(ITEM)), (11, " ".join(ITEM[::-1])), (12, None), (None, "x"), (10, " ".join(ITEM))], "item_id long, text string")
